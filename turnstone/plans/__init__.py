@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("catalog_access",)
+MODULES = ("catalog_access", "catalog_documents")
 
 
 def load_catalog():
