@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _decimal_text(raw: Column) -> Column:
@@ -27,7 +27,7 @@ def money(col: Column) -> Column:
     raw = F.regexp_replace(F.coalesce(col, F.lit("")), r"[^0-9,.\-]", "")
     number = _decimal_text(raw).try_cast("double")
     return F.when(raw == "", F.lit("")).otherwise(
-        F.coalesce(F.format_string("%.2f", number.try_cast("decimal(30,10)")), F.trim(col))
+        F.coalesce(number.try_cast("decimal(30,2)").cast("string"), F.trim(col))
     )
 
 
@@ -65,10 +65,13 @@ def cell_quantity(col: Column) -> Column:
     return F.when(hit != "", hit.cast("bigint").cast("string")).otherwise(fixed)
 
 
-def cell_money(col: Column) -> Column:
-    """Money of a table cell: two-decimal text, else the repaired text."""
-    fixed = _fix_digits(col, False)
-    raw = F.regexp_replace(fixed, r"[^0-9,.\-]", "")
-    return F.when(raw == "", fixed).otherwise(
-        F.coalesce(F.format_string("%.2f", _decimal_text(raw).try_cast("double").try_cast("decimal(30,10)")), fixed)
-    )
+def cell_money(rows: DataFrame, *cells: str) -> DataFrame:
+    """Money of table cells: two-decimal text, else the repaired text.
+
+    Works in stages on columns: every stage uses the one before several times.
+    """
+    rows = rows.withColumns({c: _fix_digits(F.col(c), False) for c in cells})
+    rows = rows.withColumns({f"_{c}": F.regexp_replace(c, r"[^0-9,.\-]", "") for c in cells})
+    rows = rows.withColumns({f"_{c}": _decimal_text(F.col(f"_{c}")).try_cast("double") for c in cells})
+    shown = lambda c: F.coalesce(F.col(f"_{c}").try_cast("decimal(30,2)").cast("string"), F.col(c))
+    return rows.withColumns({c: shown(c) for c in cells}).drop(*[f"_{c}" for c in cells])

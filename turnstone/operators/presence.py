@@ -12,6 +12,7 @@ from turnstone.operators.joins import active_directory, known_plates, match_plat
 from turnstone.operators.reports import PresenceRules, in_period, is_late
 from turnstone.operators.sessions import latest_open
 from turnstone.operators.slots import seconds_between
+from turnstone.session import materialize
 
 
 class PresenceOverview:
@@ -20,7 +21,7 @@ class PresenceOverview:
     def __init__(self, logs, unknown, employees, day: date, rules: PresenceRules = PresenceRules()):
         self.rules = rules
         self.people = active_directory(employees).join(employees.select("plate_number", "id"), "plate_number")
-        self.logs = logs.filter(in_period(F.col("entry_time"), day, day))
+        self.logs = materialize(logs.filter(in_period(F.col("entry_time"), day, day)), "day-logs")
         self.unknown = unknown.filter(in_period(F.col("detected_at"), day, day))
 
     def matched(self) -> DataFrame:

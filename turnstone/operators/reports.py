@@ -11,6 +11,7 @@ from turnstone import constants as K
 from turnstone.operators.dedup import mark_duplicates
 from turnstone.operators.joins import directory, known_plates, match_plates, merge_scalars
 from turnstone.operators.slots import seconds_between
+from turnstone.session import materialize
 
 
 @dataclass(frozen=True)
@@ -52,9 +53,12 @@ class PresenceReport:
     ):
         self.start, self.end, self.rules = start, end, rules
         self.people = directory(employees, vehicles)
-        inside = logs.filter(in_period(F.col("entry_time"), start, end))
+        inside = logs.filter(in_period(F.col("entry_time"), start, end)).select(
+            "id", "plate_number", "entry_time", "exit_time", "status")
+        # Several branches read the period's logs; pairing detections again for each would be waste.
+        inside = materialize(inside, "period-logs")
         self.unknown = unknown.filter(in_period(F.col("detected_at"), start, end))
-        self.marked = mark_duplicates(inside, rules.dedup_minutes)
+        self.marked = materialize(mark_duplicates(inside, rules.dedup_minutes), "marked-logs")
         self.kept = self.marked.filter(~F.col("is_duplicate"))
         self.orphans = logs.filter(F.col("entry_time").isNull() & F.col("exit_time").isNotNull())
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("catalog_access", "catalog_documents")
+MODULES = ("catalog_access", "catalog_documents", "catalog_layout", "catalog_review")
 
 
 def load_catalog():

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "turnstone", cpus: str | int = "*", shuffle: int = 8) -> SparkSession:
@@ -23,22 +23,32 @@ def local_session(app: str = "turnstone", cpus: str | int = "*", shuffle: int =
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("FATAL")
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a scratch one only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder for one written table."""
     return os.path.join(shared_folder(spark), f"{name}-{os.urandom(6).hex()}")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes a frame that several branches read to the shared folder and reads it back.
+
+    The table survives lost executors, and later branches prune its columns and know its size.
+    """
+    path = run_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
