@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
+
+from turnstone.functions.binding import let
 
 
 def _decimal_text(raw: Column) -> Column:
@@ -22,13 +24,38 @@ def _decimal_text(raw: Column) -> Column:
     )
 
 
+def two_decimals(number: Column) -> Column:
+    """Text of a double with two decimals, rounded on its binary value, halves to even.
+
+    Decimal rounding differs only where the shortest text of the double ends in an exact half cent.
+    There the binary value is compared with the text in whole numbers: ``d * 2**j`` is a whole
+    number below 2**63 for a suitable j, and scaling by powers of two is exact.
+    """
+
+    def shown(d: Column) -> Column:
+        text = d.try_cast("decimal(24,10)")
+        mills = (F.abs(text) * 1000).cast("decimal(26,0)")
+        half = (F.abs(text) * 1000 == mills) & (mills % 10 == 5)
+        shift = (F.lit(61) - F.floor(F.log2(F.abs(d)))).cast("int")
+        whole = (F.abs(d) * F.pow(F.lit(2.0), shift)).cast("bigint").cast("decimal(20,0)")
+        power = F.pow(F.lit(2.0), shift).cast("bigint").cast("decimal(20,0)")
+        gap = whole * F.lit(1000).cast("decimal(5,0)") - mills.cast("decimal(18,0)") * power
+        even = F.floor((mills - 5) / 10) % 2 == 0
+        down = half & (F.abs(d) < 1e12) & (F.abs(d) >= 1) & ((gap < 0) | ((gap == 0) & even))
+        cent = F.when(down, F.signum(d) * 0.01).otherwise(F.lit(0.0)).cast("decimal(10,2)")
+        return (d.try_cast("decimal(30,2)") - cent).cast("decimal(30,2)").cast("string")
+
+    return let(number, shown)
+
+
 def money(col: Column) -> Column:
     """Two-decimal text; the trimmed input where no number can be read, '' where no digit is left."""
     raw = F.regexp_replace(F.coalesce(col, F.lit("")), r"[^0-9,.\-]", "")
-    number = _decimal_text(raw).try_cast("double")
-    return F.when(raw == "", F.lit("")).otherwise(
-        F.coalesce(number.try_cast("decimal(30,2)").cast("string"), F.trim(col))
-    )
+
+    def shown(r: Column) -> Column:
+        return F.when(r == "", F.lit("")).otherwise(two_decimals(_decimal_text(r).try_cast("double")))
+
+    return F.coalesce(let(raw, shown), F.trim(col))
 
 
 def quantity(col: Column) -> Column:
@@ -60,18 +87,19 @@ def _fix_digits(col: Column, force: bool) -> Column:
 
 def cell_quantity(col: Column) -> Column:
     """Quantity of a table cell: first integer, else the repaired text."""
-    fixed = _fix_digits(col, True)
-    hit = F.regexp_extract(F.replace(fixed, F.lit(" "), F.lit("")), r"(-?\d+)", 1)
-    return F.when(hit != "", hit.cast("bigint").cast("string")).otherwise(fixed)
 
+    def shown(fixed: Column) -> Column:
+        hit = F.regexp_extract(F.replace(fixed, F.lit(" "), F.lit("")), r"(-?\d+)", 1)
+        return F.when(hit != "", hit.cast("bigint").cast("string")).otherwise(fixed)
 
-def cell_money(rows: DataFrame, *cells: str) -> DataFrame:
-    """Money of table cells: two-decimal text, else the repaired text.
+    return let(_fix_digits(col, True), shown)
 
-    Works in stages on columns: every stage uses the one before several times.
-    """
-    rows = rows.withColumns({c: _fix_digits(F.col(c), False) for c in cells})
-    rows = rows.withColumns({f"_{c}": F.regexp_replace(c, r"[^0-9,.\-]", "") for c in cells})
-    rows = rows.withColumns({f"_{c}": _decimal_text(F.col(f"_{c}")).try_cast("double") for c in cells})
-    shown = lambda c: F.coalesce(F.col(f"_{c}").try_cast("decimal(30,2)").cast("string"), F.col(c))
-    return rows.withColumns({c: shown(c) for c in cells}).drop(*[f"_{c}" for c in cells])
+
+def cell_money(col: Column) -> Column:
+    """Money of a table cell: two-decimal text, else the repaired text."""
+
+    def shown(fixed: Column) -> Column:
+        raw = F.regexp_replace(fixed, r"[^0-9,.\-]", "")
+        return F.coalesce(two_decimals(let(raw, _decimal_text).try_cast("double")), fixed)
+
+    return let(_fix_digits(col, False), shown)

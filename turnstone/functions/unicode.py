@@ -11,6 +11,8 @@ from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
+from turnstone.functions.binding import let
+
 _BLOCKS = (
     (0x00A0, 0x024F),  # Latin supplements
     (0x0370, 0x052F),  # Greek, Cyrillic
@@ -48,6 +50,10 @@ def _fold_table(form: str, drop_marks: bool) -> tuple[str, str, tuple[tuple[str,
 
 
 def _fold(col: Column, form: str, drop_marks: bool) -> Column:
+    return let(col, lambda text: _fold_bound(text, form, drop_marks))
+
+
+def _fold_bound(col: Column, form: str, drop_marks: bool) -> Column:
     source, target, longer = _fold_table(form, drop_marks)
     folded = F.translate(col, source, target)
     # One-to-many forms are rare: test once, then replace only where one occurs.

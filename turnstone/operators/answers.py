@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from turnstone.functions.binding import let
 from turnstone.functions.numbers import money, quantity
 from turnstone.functions.text import norm_match, text_lines
 from turnstone.operators.payload import leaves
@@ -64,11 +65,13 @@ def _mentions(norm: Column, words) -> Column:
 
 
 def question_kind(question: Column) -> Column:
-    norm = norm_match(question)
-    out = None
-    for kind, words in HINTS.items():
-        out = (F if out is None else out).when(_mentions(norm, words), kind)
-    return out.otherwise("generic")
+    def find(norm: Column) -> Column:
+        out = None
+        for kind, words in HINTS.items():
+            out = (F if out is None else out).when(_mentions(norm, words), kind)
+        return out.otherwise("generic")
+
+    return let(norm_match(question), find)
 
 
 def lookup(docs: DataFrame, questions: DataFrame) -> DataFrame:

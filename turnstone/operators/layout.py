@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnstone.constants import MIN_TOKEN_CONF
+from turnstone.functions.binding import let
 from turnstone.functions.numbers import cell_money, cell_quantity, clamp_confidence
 from turnstone.functions.text import to_ascii
 
@@ -96,14 +97,16 @@ def cluster_by_pairs(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
 
 
 def header_slot(text: Column) -> Column:
-    norm = F.lower(F.regexp_replace(to_ascii(text), r"\s+", ""))
-    slot = None
-    for name, words in HEADER_WORDS.items():
-        cond = F.lit(False)
-        for word in words:
-            cond = cond | norm.contains(word)
-        slot = (F if slot is None else slot).when(cond, name)
-    return F.when(norm != "", slot)
+    def find(norm: Column) -> Column:
+        slot = None
+        for name, words in HEADER_WORDS.items():
+            cond = F.lit(False)
+            for word in words:
+                cond = cond | norm.contains(word)
+            slot = (F if slot is None else slot).when(cond, name)
+        return F.when(norm != "", slot)
+
+    return let(F.lower(F.regexp_replace(to_ascii(text), r"\s+", "")), find)
 
 
 def header_lines(tokens: DataFrame) -> DataFrame:
@@ -191,9 +194,8 @@ def table_rows(tokens: DataFrame) -> DataFrame:
     # Blank tests on the raw cells: a cell is blank after repair exactly where its text is blank.
     filled = (F.col("t0") != "") | (F.trim("t2") != "") | (F.trim("t3") != "")
     lines = lines.filter(filled & header_slot(F.col("t0")).isNull())
-    out = lines.select(*PAGE, "line_id", F.col("t0").alias("description"), cell_quantity(F.col("t1")).alias("quantity"),
-                       F.col("t2").alias("unit_price"), F.col("t3").alias("line_total"))
-    return cell_money(out, "unit_price", "line_total")
+    return lines.select(*PAGE, "line_id", F.col("t0").alias("description"), cell_quantity(F.col("t1")).alias("quantity"),
+                        cell_money(F.col("t2")).alias("unit_price"), cell_money(F.col("t3")).alias("line_total"))
 
 
 def line_offsets(tokens: DataFrame) -> DataFrame:

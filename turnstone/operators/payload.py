@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from turnstone.functions.binding import let
 from turnstone.functions.numbers import to_number
 from turnstone.functions.text import norm_match
 
@@ -73,8 +74,10 @@ def _object(col: Column) -> Column:
 
 def hybrid(col: Column) -> Column:
     """STRUCT of the seven core fields and ``extra`` MAP; a ``data`` object inside is unwrapped."""
-    top = _object(col)
-    inner = _object(F.try_element_at(top, F.lit("data")))
+    return let(_object(col), lambda top: let(_object(F.try_element_at(top, F.lit("data"))), lambda inner: _hybrid(top, inner)))
+
+
+def _hybrid(top: Column, inner: Column) -> Column:
     source = F.coalesce(inner, top)
     around = F.when(inner.isNotNull(), F.map_filter(top, lambda k, v: k != "data"))
     names = F.create_map(*[F.lit(x) for pair in CORE_ALIASES.items() for x in pair])
@@ -101,6 +104,10 @@ def is_empty_like(col: Column) -> Column:
 
 def merge_hybrid(base: Column, incoming: Column) -> Column:
     """Incoming core values win unless empty-like; extras are merged, incoming wins."""
+    return let(base, lambda a: let(incoming, lambda b: _merged(a, b)))
+
+
+def _merged(base: Column, incoming: Column) -> Column:
     fields = [F.when(is_empty_like(incoming[f]), base[f]).otherwise(incoming[f]).alias(f) for f in CORE_FIELDS]
     empty = F.create_map().cast("map<string,string>")
     extra = merge_maps(F.coalesce(base["extra"], empty), F.coalesce(incoming["extra"], empty))

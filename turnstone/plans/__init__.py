@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("catalog_access", "catalog_documents", "catalog_layout", "catalog_review")
+MODULES = ("catalog_access", "catalog_documents", "catalog_layout", "catalog_review", "catalog_streaming")
 
 
 def load_catalog():
