@@ -210,10 +210,11 @@ def line_offsets(tokens: DataFrame) -> DataFrame:
 def paragraph_blocks(lines: DataFrame) -> DataFrame:
     """Titles and paragraphs of a page from gaps between lines in (y, x) order."""
     w = Window.partitionBy(*PAGE).orderBy("y0", "x0", "line_no")
-    gap = lambda a, b: F.greatest(F.lit(0.0), a - b)
-    rows = lines.withColumn("_next", F.coalesce(gap(F.lead("y0").over(w), F.col("y1")), F.lit(999.0)))
+    # No neighbour counts as a wide gap; greatest() alone would skip the null.
+    gap = lambda a, b: F.when((a - b).isNull(), 999.0).otherwise(F.greatest(F.lit(0.0), a - b))
+    rows = lines.withColumn("_next", gap(F.lead("y0").over(w), F.col("y1")))
     rows = rows.withColumn("text", F.trim("text")).filter("text <> ''")
-    rows = rows.withColumn("_prev", F.coalesce(gap(F.col("y0"), F.lag("y1").over(w)), F.lit(999.0)))
+    rows = rows.withColumn("_prev", gap(F.col("y0"), F.lag("y1").over(w)))
     text = F.col("text")
     shouted = text.rlike(r"\p{L}") & (F.upper(text) == text)
     title = (F.length(text) <= 60) & (shouted | text.contains(":") | (F.col("_prev") >= 18) | (F.col("_next") >= 18))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from turnstone.constants import ASSET_LINK_SECONDS, FUZZY_THRESHOLD
 from turnstone.functions.text import norm_ascii, norm_question
@@ -14,7 +14,7 @@ def norm_name(col: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.trim(F.coalesce(col, F.lit("")))), r"(?U)\s+", " "))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio times 100."""
     from difflib import SequenceMatcher

@@ -88,7 +88,7 @@ docs("win_line_offset", """SELECT doc_id, line_no, pos, pg AS page, lid + coales
     FROM (SELECT doc_id, line_no // 8 + 1 AS pg, max(line_no % 8 + 1) AS m FROM tokens GROUP BY ALL)) USING (doc_id, pg)""")(
     lambda t: L.line_offsets(t.tokens.withColumn("page", (F.col("line_no") / 8).cast("int") + 1).withColumn(
         "line_id", (F.col("line_no") % 8 + 1).cast("bigint"))).select("doc_id", "line_no", "pos", "page", "line_id"))
-BLOCKS = """gaps AS (SELECT *, coalesce(greatest(0, lead(y0) OVER w - y1), 999) AS nx, coalesce(greatest(0, y0 - lag(y1) OVER w), 999) AS pv FROM lines WINDOW w AS (PARTITION BY doc_id, page ORDER BY y0, x0)),
+BLOCKS = """gaps AS (SELECT *, CASE WHEN lead(y0) OVER w IS NULL THEN 999 ELSE greatest(0, lead(y0) OVER w - y1) END AS nx, CASE WHEN lag(y1) OVER w IS NULL THEN 999 ELSE greatest(0, y0 - lag(y1) OVER w) END AS pv FROM lines WINDOW w AS (PARTITION BY doc_id, page ORDER BY y0, x0)),
 ti AS (SELECT *, length(trim(text)) <= 60 AND ((regexp_matches(text, '\\pL') AND upper(trim(text)) = trim(text)) OR contains(text, ':') OR pv >= 18 OR nx >= 18) AS title FROM gaps),
 bl AS (SELECT *, sum(CASE WHEN title OR pv > 12 OR coalesce(pt, true) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY y0, x0)::BIGINT AS block
   FROM (SELECT *, lag(title) OVER (PARTITION BY doc_id, page ORDER BY y0, x0) AS pt FROM ti))"""

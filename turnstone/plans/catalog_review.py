@@ -222,18 +222,18 @@ access("snk_report", f"SELECT 'monthly' AS report_type, DATE '2024-01-01' AS sta
 access("fn_summary_json", f"SELECT strftime(first_arrival, '%Y-%m-%dT%H:%M:%S.%f') AS first_arrival, strftime(last_exit, '%Y-%m-%dT%H:%M:%S.%f') AS last_exit FROM ({SUMMARY})", *period_views(*JAN))(
     lambda t: U.report_row(january(t).summary(), "monthly", date(2024, 1, 1), date(2024, 1, 31), "2024-02-01 08:00:00").select(
         *[F.get_json_object("summary", f"$.{c}").alias(c) for c in ("first_arrival", "last_exit")]))
-NOW = F.lit("2024-04-01").cast("timestamp_ntz")
+NOW = lambda: F.lit("2024-04-01").cast("timestamp_ntz")
 docs("snk_review_upsert", """SELECT doc_id AS document_id, CASE WHEN k IS NOT NULL THEN 'validated' ELSE NULL END AS status, CASE WHEN k IS NULL THEN NULL WHEN doc_id % 4 = 3 THEN TIMESTAMP '2024-03-01' ELSE TIMESTAMP '2024-04-01' END AS created_at,
   TIMESTAMP '2024-04-01' AS updated_at FROM (SELECT doc_id, k FROM wir UNION ALL SELECT doc_id, k FROM stm)""")(
     lambda t: U.upsert_by_key(reviews(t), t.wires.select("doc_id").union(t.statements.select("doc_id")).select(
-        F.col("doc_id").alias("document_id"), F.lit("validated").alias("status"), F.lit("{}").alias("raw_extracted_fields")), "document_id", NOW).select(
+        F.col("doc_id").alias("document_id"), F.lit("validated").alias("status"), F.lit("{}").alias("raw_extracted_fields")), "document_id", NOW()).select(
         "document_id", "status", "created_at", "updated_at"))
 docs("snk_asset_upsert", """SELECT doc_id AS document_id, 'new_' || doc_id AS stored_file_name, 'heuristic' AS source, CASE WHEN doc_id % 4 = 3 THEN TIMESTAMP '2024-03-01' ELSE TIMESTAMP '2024-04-01' END AS created_at
   FROM (SELECT doc_id FROM wir UNION ALL SELECT doc_id FROM stm)""")(
     lambda t: U.upsert_by_key(
         reviews(t).select("document_id", F.lit("old").alias("stored_file_name"), F.lit("upload").alias("source"), "created_at"),
         t.wires.select("doc_id").union(t.statements.select("doc_id")).select(F.col("doc_id").alias("document_id"), F.concat(F.lit("new_"), F.col("doc_id").cast("string")).alias("stored_file_name"), F.lit("heuristic").alias("source")),
-        "document_id", NOW, touched=None))
+        "document_id", NOW(), touched=None))
 BATCH = """bi AS (SELECT o_custkey AS batch_id, o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'success' END AS status FROM orders),
 bs AS (SELECT batch_id, count(*) AS total_files, count(*) FILTER (status = 'success') AS success_count, count(*) FILTER (status <> 'success') AS failed_count,
   CASE WHEN bool_or(status <> 'success') THEN 'completed_with_errors' ELSE 'completed' END AS status FROM bi GROUP BY 1)"""
@@ -267,7 +267,7 @@ table("flt_generated_on", "orders", HIST + "SELECT id FROM h WHERE generated_at:
     lambda o: history(o).filter(AQ.on_day("generated_at", date(1996, 3, 15))).select("id"))
 
 # -- questions -----------------------------------------------------------------------------------------------
-TODAY = F.lit(date(2024, 1, 15))
+TODAY = lambda: F.lit(date(2024, 1, 15))
 # (template, intent); {P} plate, {N} name, {D} literal day of the event.
 TEMPLATES = [
     ("Qui a la plaque exacte {P} ?", "plate_owner"), ("Historique de la plaque {P}", "plate_history"), ("Derniere entree de la plaque {P}", "plate_last_entry"),
@@ -300,19 +300,19 @@ def question_rows(t: AccessTables):
 
 
 access("nlq_entities", "SELECT * EXCLUDE (k, it) FROM ent", QUEST)(
-    lambda t: Q.entities(question_rows(t), t.employees, TODAY).select(
+    lambda t: Q.entities(question_rows(t), t.employees, TODAY()).select(
         "question_id", "plate", "employee_name", "department", "date_value", "date_range.start_date", "date_range.end_date",
         "time_range.start_time", "time_range.end_time", "time_value", "status_keyword"))
 # A person who is not an employee is not found, so the rule after the name rules decides.
 access("nlq_intent", """SELECT question_id, CASE WHEN k = 5 AND employee_name IS NULL THEN 'late_today' WHEN k = 6 AND employee_name IS NULL THEN 'present_today'
   WHEN k BETWEEN 4 AND 7 AND employee_name IS NULL THEN 'unknown' ELSE it END AS intent FROM ent""", QUEST)(
-    lambda t: Q.intent(Q.entities(question_rows(t), t.employees, TODAY)).select("question_id", "intent"))
+    lambda t: Q.intent(Q.entities(question_rows(t), t.employees, TODAY())).select("question_id", "intent"))
 access("jn_dictionary_contains", "SELECT question_id, n AS name FROM qs WHERE k BETWEEN 4 AND 7 AND emp", QUEST)(
     lambda t: M.contained_names(question_rows(t).select("question_id", T.norm_question(F.col("question")).alias("norm")), t.employees.select(F.col("full_name").alias("name")), "question_id"))
 access("nlq_use_model", "SELECT question_id, k = 19 AS model FROM qs", QUEST)(
     lambda t: question_rows(t).select("question_id", Q.use_model(F.col("question")).alias("model")))
 access("fn_relative_period", "SELECT question_id, start_date, end_date FROM ent", QUEST)(
-    lambda t: question_rows(t).select("question_id", D.question_span(F.col("question"), T.norm_question(F.col("question")), TODAY).alias("r")).select("question_id", "r.*"))
+    lambda t: question_rows(t).select("question_id", D.question_span(F.col("question"), T.norm_question(F.col("question")), TODAY()).alias("r")).select("question_id", "r.*"))
 access("fn_time_range", "SELECT question_id, start_time, end_time FROM ent", QUEST)(
     lambda t: question_rows(t).select("question_id", D.time_range(T.norm_question(F.col("question"))).alias("r")).select("question_id", "r.*"))
 access("fn_time_value", "SELECT question_id, time_value FROM ent WHERE k <> 15", QUEST)(

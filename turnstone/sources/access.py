@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from turnstone.constants import AUTHORIZED, BLACKLISTED, NO_PLATE, UNKNOWN
 from turnstone.functions.plates import normalize_plate
 from turnstone.operators.sessions import pair_sessions
+from turnstone.sources.files import read_table
 
 
 def plate_of(key: Column) -> Column:
@@ -39,7 +40,7 @@ class AccessTables:
         self.spark, self.folder = spark, folder
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return read_table(self.spark, self.folder, name)
 
     @cached_property
     def employees(self) -> DataFrame:

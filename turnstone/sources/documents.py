@@ -9,6 +9,8 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from turnstone.sources.files import read_table
+
 
 def mad(cents: Column) -> Column:
     """Cents as ``1 234.56 MAD``."""
@@ -40,7 +42,7 @@ class DocumentTables:
         self.spark, self.folder = spark, folder
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return read_table(self.spark, self.folder, name)
 
     @cached_property
     def invoice_source(self) -> DataFrame:
