@@ -152,8 +152,8 @@ def link_assets(docs: DataFrame, files: DataFrame, links: DataFrame, window_seco
     free = nearest_file(dated, files.join(links.select("name").distinct(), "name", "left_anti"))
     chosen = near.join(free.select("doc_id", F.col("name").alias("free_name")), "doc_id", "left").select(
         "doc_id", F.when(F.col("delta") > window_seconds, F.coalesce("free_name", "name")).otherwise(F.col("name")).alias("name"))
-    oldest = files.agg(F.min(F.struct("mtime", "name")).getField("name").alias("name")).withColumn("k", F.lit(1))
-    undated = open_docs.filter("at IS NULL").select("doc_id", F.lit(1).alias("k")).join(F.broadcast(oldest), "k").drop("k")  # one row
+    oldest = files.agg(F.min(F.struct("mtime", "name")).getField("name").alias("name"))
+    undated = open_docs.filter("at IS NULL").select("doc_id", oldest.scalar().alias("name"))
     stored = docs.join(links, "doc_id").select("doc_id", "name", F.lit("stored").alias("source"))
     guessed = chosen.unionByName(undated).withColumn("source", F.lit("heuristic"))
     return stored.unionByName(guessed)

@@ -152,8 +152,8 @@ def context_pack(rows: DataFrame, order: list, limit: int = 25, max_chars: int =
     total = rows.agg(F.count("*").alias("row_count"))
     top = rows.orderBy(*order).limit(limit)
     # At most 25 small rows are listed; the limit is the feature.
-    listed = top.agg(F.collect_list(F.struct(*rows.columns)).alias("r")).withColumn("k", F.lit(1))
-    packed = listed.join(total.withColumn("k", F.lit(1)), "k")
+    listed = top.agg(F.collect_list(F.struct(*rows.columns)).alias("r"))
+    packed = listed.withColumn("row_count", total.scalar())
     options = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
     texts, n = [], limit
     while n > 0:

@@ -113,8 +113,8 @@ def daily_counts(detections: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 def late_rows(detections: DataFrame, newest: DataFrame, delay_seconds: int = 3600) -> DataFrame:
     """Rows of a batch older than the watermark allows, for the repair table."""
-    limit = newest.agg((F.max("detected_at") - F.make_interval(secs=F.lit(delay_seconds))).alias("limit")).withColumn("k", F.lit(1))
-    return detections.withColumn("k", F.lit(1)).join(F.broadcast(limit), "k").filter("detected_at < limit").drop("k", "limit")
+    limit = newest.agg((F.max("detected_at") - F.make_interval(secs=F.lit(delay_seconds))).alias("limit"))
+    return detections.filter(F.col("detected_at") < limit.scalar())
 
 
 def unknown_sink(path: str):
