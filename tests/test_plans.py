@@ -34,11 +34,12 @@ def test_no_python_in_plan(spark, key):
     assert "Python" not in text and "Pandas" not in text
 
 
-def test_day_filter_reaches_the_scan(spark):
-    text = plan(queries()["flt_generated_on"](spark, SMALL))
-    assert "PushedFilters" in text or "Filter" in text
+def test_filters_and_columns_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     employees = plan(queries()["src_employees"](spark, SMALL))
-    assert "LessThan(c_acctbal,9000.0)" in employees
+    assert "LessThan(c_acctbal,9000.0)" in employees and "c_nationkey" not in employees
+    history = plan(queries()["flt_generated_on"](spark, SMALL))
+    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz>" in history
 
 
 @pytest.mark.parametrize("key", QUICK)
