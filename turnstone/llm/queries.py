@@ -7,15 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import table
+from turnstone.llm import packing, quality
+from turnstone.llm.common import bucket, table
+from turnstone.llm.line_dedup import dedup_lines
 from turnstone.llm.near_dedup import near_duplicates
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the packing query, from the installed package of public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), tokenizer_path(), with_ids=False)
+
+
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = bucket(F.col("doc_id"), 4) == 2
+    model = quality.fit(docs.where(~held_out), table(spark, folder, "labels"))
+    return quality.with_score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    )
+
+
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", F.col("removed_lines").cast("long").alias("removed_lines"),
+                                    F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_crc32"))
+
+
 def op10_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), width=4, similarity=0.8)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
+    "op7_quality": op7_quality,
+    "op9_line_dedup": op9_line_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 ORACLES: dict[str, str] = {}
