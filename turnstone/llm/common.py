@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,3 +74,38 @@ def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
     for k in range(size):
         total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + hashes[k : n - size + 1 + k])
     return np.unique(total)
+
+
+def key_runs(batches, keys: list[str]):
+    """Record batches sorted by keys -> (table, starts): whole runs of equal keys, starts with the end appended.
+
+    Only one batch and the run that crosses its end are held.
+    """
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        starts = _starts(held, keys)
+        if len(starts) > 2:
+            last = int(starts[-2])
+            yield held.slice(0, last), starts[:-1]
+            held = held.slice(last)
+    if held is not None:
+        yield held, _starts(held, keys)
+
+
+def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    changed = np.zeros(rows.num_rows, dtype=bool)
+    changed[:1] = True
+    for k in keys:
+        values = rows.column(k).to_numpy()
+        changed[1:] |= values[1:] != values[:-1]
+    return np.append(np.flatnonzero(changed), rows.num_rows)
+
+
+def grid_parts(size: Column, ident: Column, block: int) -> tuple[Column, Column]:
+    """(parts, own): into how many parts a group of `size` rows is split, `block` rows each, and the part of a row."""
+    parts = F.ceil(size / F.lit(block)).cast("int")
+    return parts, F.pmod(F.xxhash64(ident), parts).cast("int")

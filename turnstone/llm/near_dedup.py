@@ -13,11 +13,11 @@ Method
 1. Documents with the same word sequence form one class, named by its smallest id.
 2. `bands * rows` minima per class; every band of `rows` minima is a bucket key. At similarity 0.8 a pair misses all
    36 bands of 5 with a probability of about 6e-7.
-3. In each bucket, members meet its smallest and its largest member. Signatures drop pairs far below the bound, the
+3. In each bucket, members meet its smallest, its largest and its best connected member. Signatures drop pairs far below the bound, the
    most similar partner of each class is verified on full sets first, and then all pairs that still lie between
    components.
 4. Buckets that still hold several components give the exact rest: each member outside the bucket's largest component
-   meets all members of other components. No partner or bucket is capped, and a group that is one component never
+   meets all members of other components, by longer signatures in cells of a bucket, and full sets decide. No partner or bucket is capped, and a group that is one component never
    emits its pairs.
 Links between documents of one component decide nothing more, so they are not all listed.
 """
@@ -33,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import shingle_set, stored, word_hashes, words_of
+from turnstone.llm.common import grid_parts, key_runs, shingle_set, stored, word_hashes, words_of
 from turnstone.llm.components import components
 
 BANDS, ROWS, SEED = 36, 5, 20240115
-#: The estimate from 180 one-byte minima has a standard deviation of 0.03 at 0.8; five of them are allowed.
-SLACK = 0.15
+#: The estimate from 180 one-byte minima has a standard deviation of 0.03 at 0.8; four of them are allowed.
+SLACK = 0.125
 PIECE = 4096
+#: Minima of the signatures for the exact rest: four standard deviations are 0.06. Rows per side of a cell.
+LONG, LONG_SLACK, CELL = 720, 0.06, 2048
 SKETCH = "doc_id long, class_high long, class_low long, n_shingles long, bands array<long>, signature binary"
 
 
@@ -130,10 +132,17 @@ class _Search:
                             .dropDuplicates(["node"]), "nodes")
 
     def crowds(self) -> DataFrame:
-        """(band, node, n_shingles, low, high) of all buckets with two members or more."""
+        """(band, node, n_shingles, low, high, hub) of all buckets with two members or more."""
         rows = self.nodes.select(F.explode("bands").alias("band"), "node", "n_shingles")
-        ends = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-        return stored(rows.join(ends, "band"), "crowds")
+        ends = rows.groupBy("band").agg(
+            F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")
+        ).where("low < high")
+        members = stored(rows.join(ends, "band"), "members")
+        # the origin of a family of variants shares most buckets with most of them: it has the most neighbours in all
+        weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
+        known = members.join(weight, "node")
+        hubs = known.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("top"))
+        return stored(members.join(hubs.select("band", F.col("top.node").alias("hub")), "band"), "crowds")
 
     def checked(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and signatures allow the similarity, with the estimate."""
@@ -182,20 +191,63 @@ def _between(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select(*pairs.columns)
 
 
-def _rest(crowds: DataFrame, found: DataFrame) -> DataFrame:
-    """All pairs of one bucket in different components, as members outside its largest component x the others."""
+def _long_signatures(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd, shift = _family(BANDS * ROWS + LONG)
+        odd, shift = odd[-LONG:], shift[-LONG:]
+        for batch in batches:
+            signs = [(minima(shingle_set(word_hashes(words_of(t)), width), odd, shift) & np.uint32(255)).astype(np.uint8).tobytes()
+                     for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(signs, pa.binary())], names=["node", "sign"])
+
+    return run
+
+
+def _met_in_cells(least: Fraction):
+    """Pairs of rows outside and inside of each cell that sizes, components and long signatures allow."""
+    bound = float(least) - LONG_SLACK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in key_runs(batches, ["band", "i", "j"]):
+            node, size, part, main, outer = (rows.column(k).to_numpy() for k in ("node", "n_shingles", "c", "main", "outer"))
+            sign = np.frombuffer(b"".join(rows.column("sign").to_pylist()), dtype=np.uint8).reshape(-1, LONG)
+            a, b = [], []
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                cell = np.arange(lo, hi)
+                inside = cell[outer[lo:hi] == 0]
+                for x in cell[outer[lo:hi] == 1]:
+                    fit = inside[(part[inside] != part[x]) & ((part[inside] == main[x]) | (node[inside] > node[x]))
+                                 & (np.minimum(size[inside], size[x]) * least.denominator
+                                    >= np.maximum(size[inside], size[x]) * least.numerator)]
+                    near = fit[(sign[fit] == sign[x]).mean(axis=1) >= bound] if len(fit) else fit
+                    a.append(np.minimum(node[near], node[x])), b.append(np.maximum(node[near], node[x]))
+            none = np.zeros(0, dtype=np.int64)
+            pairs = np.unique(np.stack([np.concatenate([none, *a]), np.concatenate([none, *b])]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return run
+
+
+def _rest(run: _Search, crowds: DataFrame, found: DataFrame) -> DataFrame:
+    """All pairs of one bucket in different components that may be similar: members outside its largest component
+    against the others, compared within cells of a bucket, so that only what passes becomes a row."""
     named = crowds.join(found.toDF("node", "c"), "node", "left").select(
-        "band", "node", "n_shingles", F.coalesce("c", "node").alias("c")
+        "band", "node", "n_shingles", "size", F.coalesce("c", "node").alias("c")
     )
     sizes = named.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "c")).alias("most"), F.count(F.lit(1)).alias("parts"))
     split = stored(named.join(mixed.where("parts > 1").select("band", F.col("most.c").alias("main")), "band"), "split")
-    outside = split.where("c <> main").select("band", F.col("node").alias("x"), F.col("n_shingles").alias("n_x"), F.col("c").alias("c_x"))
-    inside = split.select("band", F.col("node").alias("y"), F.col("n_shingles").alias("n_y"), F.col("c").alias("c_y"), "main")
-    met = outside.join(inside, "band").where(
-        "c_x <> c_y and (c_y = main or x < y) and least(n_x, n_y) * 10 >= greatest(n_x, n_y) * 5"
-    )
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    wanted = split.select("node").distinct()
+    signs = stored(run.bodies.join(wanted, "node").mapInArrow(_long_signatures(run.width), "node long, sign binary"), "signs")
+    parts, own = grid_parts(F.col("size"), F.col("node"), CELL)
+    cells = split.withColumn("parts", parts).withColumn("own", own)
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    columns = ["band", "i", "j", "node", "n_shingles", "c", "main", "outer"]
+    outside = cells.where("c <> main").withColumn("j", every).withColumn("i", F.col("own")).withColumn("outer", F.lit(1))
+    inside = cells.withColumn("i", every).withColumn("j", F.col("own")).withColumn("outer", F.lit(0))
+    rows = outside.select(columns).unionByName(inside.select(columns)).join(signs, "node")
+    spread = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return spread.mapInArrow(_met_in_cells(run.least), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -210,14 +262,15 @@ def near_duplicates(
     run.keep_texts(crowds)
     ends = crowds.select(F.col("low").alias("a"), F.col("node").alias("b")).unionByName(
         crowds.select(F.col("node").alias("a"), F.col("high").alias("b"))
-    )
+    ).unionByName(crowds.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")))
     pairs = stored(run.checked(ends.where("a < b").distinct()), "pairs")
-    best = pairs.groupBy("b").agg(F.max(F.struct("estimate", (-F.col("a")).alias("near"))).alias("top"))
-    first = run.verified(best.select((-F.col("top.near")).alias("a"), "b"), "links")
+    partners = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "estimate"))
+    best = partners.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("top"))
+    first = run.verified(best.select(F.least("a", "top.b").alias("a"), F.greatest("a", "top.b").alias("b")).distinct(), "links")
     second = run.verified(_between(pairs, components(first)), "links")
     links = first.unionByName(second)
-    left = _rest(crowds, components(links)).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    third = run.verified(run.checked(left), "links")
+    left = _rest(run, crowds, components(links)).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    third = run.verified(left, "links")
     found = components(links.unionByName(third)).toDF("node", "component")
     named = run.classes.join(found, "node", "left").select(
         "class_high", "class_low", "first", F.coalesce("component", "node").alias("component")
