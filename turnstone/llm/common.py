@@ -109,3 +109,21 @@ def grid_parts(size: Column, ident: Column, block: int) -> tuple[Column, Column]
     """(parts, own): into how many parts a group of `size` rows is split, `block` rows each, and the part of a row."""
     parts = F.ceil(size / F.lit(block)).cast("int")
     return parts, F.pmod(F.xxhash64(ident), parts).cast("int")
+
+
+def slot_bytes(marks: DataFrame, slots: int) -> bytes:
+    """marks (slot, level 1 to 127) with one row per marked slot -> one byte per slot, 1 where none is marked.
+
+    A table of fixed size, whatever the data: it may travel as a literal. Look it up with slot_level().
+    """
+    every = marks.sparkSession.range(slots, numPartitions=8).select(F.col("id").alias("slot"))
+    filled = every.join(marks, "slot", "left").select("slot", F.chr(F.coalesce("level", F.lit(1)).cast("int")).alias("level"))
+    blocks = filled.groupBy(F.shiftright("slot", 12).alias("block")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", "level"))), lambda x: x["level"]), "").alias("part")
+    )
+    rows = blocks.collect()  # slots / 4096 strings of 4096 characters
+    return "".join(r.part for r in sorted(rows, key=lambda r: r.block)).encode("latin-1")
+
+
+def slot_level(table_bytes: bytes, slot: Column) -> Column:
+    return F.ascii(F.substring(F.lit(table_bytes), (slot + 1).cast("int"), F.lit(1)).cast("string"))

@@ -31,7 +31,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import SPACE, ascii_lower, stored
+from turnstone.llm.common import SPACE, ascii_lower, slot_bytes, slot_level, stored
 
 SLOTS, LEVELS, MIN_WORDS = 1 << 20, 128, 3
 #: Places for line numbers below the document in a position.
@@ -50,14 +50,8 @@ def rarity_table(docs: DataFrame) -> bytes:
     """One byte per hash slot: 4 * log2 of how many words of the corpus fell there."""
     words = docs.select(F.explode(_words(F.col("text"))).alias("word"))
     counts = words.groupBy(_slot(F.xxhash64("word")).alias("slot")).count()
-    every = docs.sparkSession.range(SLOTS, numPartitions=8).select(F.col("id").alias("slot"))
-    level = F.least(F.lit(LEVELS - 1), 1 + F.floor(4 * F.log2(F.coalesce("count", F.lit(0)) + 1))).cast("int")
-    slots = every.join(counts, "slot", "left").select("slot", F.chr(level).alias("level"))
-    blocks = slots.groupBy(F.shiftright("slot", 12).alias("block")).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", "level"))), lambda x: x["level"]), "").alias("part")
-    )
-    rows = blocks.collect()  # SLOTS / 4096 strings of 4096 characters, whatever the corpus
-    return "".join(r.part for r in sorted(rows, key=lambda r: r.block)).encode("latin-1")
+    level = F.least(F.lit(LEVELS - 1), 1 + F.floor(4 * F.log2(F.col("count") + 1)))
+    return slot_bytes(counts.select("slot", level.alias("level")), SLOTS)
 
 
 def _position(line_no: Column) -> Column:
@@ -69,12 +63,10 @@ def _position(line_no: Column) -> Column:
 def line_sets(docs: DataFrame, rarity: bytes) -> DataFrame:
     """(doc_id, line_no, at, words, n, parity, high, low): position, hashed words rarest first, their number, parity bits, set hash."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    levels = F.lit(rarity)
 
     def key(word: Column) -> Column:
         h = F.xxhash64(word)
-        level = F.ascii(F.substring(levels, (_slot(h) + 1).cast("int"), F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+        return F.shiftleft(slot_level(rarity, _slot(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
     # empty words only stand at the ends of a line, before or behind its white space
     keys = F.sort_array(F.array_distinct(F.transform(F.filter(_words(F.col("line")), lambda w: w != ""), key)))

@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 
 from turnstone.llm import packing, quality
 from turnstone.llm.common import bucket, table
+from turnstone.llm.decontaminate import leaks
 from turnstone.llm.line_dedup import dedup_lines
 from turnstone.llm.near_dedup import near_duplicates
 
 
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "first_word", "n_words").distinct()
+
+
 def tokenizer_path() -> str:
     """The vocabulary file of the packing query, from the installed package of public tokenizers."""
     import public_tokenizers
@@ -44,6 +50,7 @@ def op10_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_packing": op3_packing,
     "op7_quality": op7_quality,
     "op9_line_dedup": op9_line_dedup,
