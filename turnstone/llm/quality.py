@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -109,22 +109,33 @@ def _vectors(texts) -> np.ndarray:
     return np.array([features(t) for t in texts]) if len(texts) else np.zeros((0, len(FEATURES)))
 
 
+@pandas_udf("array<double>")
+def _features(texts: pd.Series) -> pd.Series:
+    return pd.Series(list(_vectors(texts)))
+
+
+def with_features(docs: DataFrame) -> DataFrame:
+    """(doc_id, x): the statistics of every text; small rows that may be stored and joined instead of the texts."""
+    return docs.select("doc_id", _features(F.col("text").cast("string")).alias("x"))
+
+
 def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row per class for each task: count, sums and products of the vectors."""
     size = len(FEATURES)
     total = np.zeros((2, 1 + size + size * size))
     for batch in batches:
-        x, y = _vectors(batch["text"]), batch["quality"].to_numpy()
-        for k in (0, 1):
-            own = x[y == k]
-            total[k] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
+        if len(batch):
+            x, y = np.stack(batch["x"].to_numpy()), batch["quality"].to_numpy()
+            for k in (0, 1):
+                own = x[y == k]
+                total[k] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
     yield pd.DataFrame({"quality": [0, 1], "sums": list(total)})
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """docs (doc_id, text), labels (doc_id, quality) of the rows to learn from."""
+def fit(vectors: DataFrame, labels: DataFrame) -> Model:
+    """vectors (doc_id, x), labels (doc_id, quality) of the rows to learn from."""
     marked = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    known = docs.select("doc_id", "text").join(marked, "doc_id").select("text", "quality")
+    known = vectors.join(marked, "doc_id").select("x", "quality")
     parts = known.mapInPandas(_moments, "quality int, sums array<double>").select("quality", F.posexplode("sums"))
     size = len(FEATURES)
     total = np.zeros((2, 1 + size + size * size))
@@ -149,11 +160,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(means, np.array(inverses), np.array(constants), share, True)
 
 
-def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs with one more column: 0 to 1, higher where label 1 is likelier."""
+def score_column(model: Model, column: str, from_text: bool) -> Column:
+    """0 to 1, higher where label 1 is likelier; of a text column, or of a column of vectors."""
 
     @pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(_vectors(texts)))
+    def score(values: pd.Series) -> pd.Series:
+        x = _vectors(values) if from_text else np.stack(values.to_numpy()) if len(values) else np.zeros((0, len(FEATURES)))
+        return pd.Series(model.scores(x))
 
-    return docs.withColumn(name, score(F.col("text").cast("string")))
+    return score(F.col(column).cast("string") if from_text else F.col(column))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.llm import packing, quality
-from turnstone.llm.common import bucket, table
+from turnstone.llm.common import bucket, stored, table
 from turnstone.llm.decontaminate import leaks
 from turnstone.llm.line_dedup import dedup_lines
 from turnstone.llm.near_dedup import near_duplicates
@@ -31,12 +31,11 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    vectors = stored(quality.with_features(table(spark, folder, "documents")), "vectors")
     held_out = bucket(F.col("doc_id"), 4) == 2
-    model = quality.fit(docs.where(~held_out), table(spark, folder, "labels"))
-    return quality.with_score(docs, model).select(
-        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
-    )
+    model = quality.fit(vectors.where(~held_out), table(spark, folder, "labels"))
+    scored = vectors.select("doc_id", held_out.alias("held_out"), quality.score_column(model, "x", False).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
