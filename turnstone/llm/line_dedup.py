@@ -1,22 +1,22 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line's set holds its distinct words (A-Z lower-cased, split at ASCII white space), each as a 32-bit hash. A line is
+A line's set holds its distinct lower-cased words between ASCII white space. A line is
 removed if an earlier line, by (doc_id, line number), has a Jaccard similarity of `similarity` (0.8) or more, whether
 or not that line was removed itself; of equal sets the first stays. Lines of fewer than `min_words` distinct words are
 never removed and never make others go.
 
 Method
 ------
-1. Word counts, by 2^20 hash slots, give every word one of 128 rarity levels: a table of fixed size that travels as a
-   literal. Each line's words are ordered by (level, hash), rarest first.
+1. Word counts, by 2^19 hash slots, give every word one of 126 rarity levels: a table of fixed size that travels as a
+   constant. Each line's words are ordered by (level, hash), rarest first.
 2. Equal sets become one row with their first position.
 3. Of |x| words, two sets that are similar enough share one of the first |x| - ceil(s |x|) + 1 (prefix filter). Lines
    meet by an equi-join on prefix words, under the length filter, the positional filter (what can still overlap before
    and behind the shared word) and the parity filter: each word flips one of 64 bits, and two words more in the
    symmetric difference flip at most two bits more.
 4. Large families of variants would meet in all pairs, so each line first meets the first and the previous line of
-   two groups, those with the same smallest word hash under two functions; what this removes only stays as a partner.
-5. Pairs that pass are verified on their whole sets.
+   two groups, those with the same outermost and the same second word hashes; what this removes only stays as a partner.
+5. Pairs that pass are verified on the whole sets of words, read from the texts again.
 
 Rules: null and empty texts have one empty line, which stays. A null doc_id counts as smaller than all others. A doc_id
 names one document: rows that repeat it take equal positions and do not remove each other's lines. Columns besides
@@ -27,57 +27,72 @@ from __future__ import annotations
 
 from decimal import Decimal
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import SPACE, ascii_lower, slot_bytes, slot_level, stored
+from turnstone.llm.common import slot_bytes, stored
 
-SLOTS, LEVELS, MIN_WORDS = 1 << 20, 128, 3
+SLOTS, MIN_WORDS = 1 << 19, 3
 #: Places for line numbers below the document in a position.
 LINES = 1 << 40
 
 
 def _words(text: Column) -> Column:
-    return F.split(ascii_lower(text), SPACE + "+")
+    """Lower-cased words at single blanks; other white space is turned into blanks first, where there is any."""
+    other = [F.lit(c) for c in "\t\x0b\x0c\r\n"]
+    odd = reduce(lambda x, y: x | y, (F.contains(text, c) for c in other))
+    return F.split(F.lower(F.when(odd, F.translate(text, "\t\x0b\x0c\r\n", " " * 5)).otherwise(text)), " ")
 
 
 def _slot(word_hash: Column) -> Column:
     return word_hash.bitwiseAND(F.lit(SLOTS - 1))
 
 
-def rarity_table(docs: DataFrame) -> bytes:
-    """One byte per hash slot: 4 * log2 of how many words of the corpus fell there."""
-    words = docs.select(F.explode(_words(F.col("text"))).alias("word"))
+def rarity_levels(docs: DataFrame) -> str:
+    """One number from 1 to 126 per hash slot, comma-joined: 4 * log2 of how many words of the corpus fell there."""
+    words = docs.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("word"))
     counts = words.groupBy(_slot(F.xxhash64("word")).alias("slot")).count()
-    level = F.least(F.lit(LEVELS - 1), 1 + F.floor(4 * F.log2(F.col("count") + 1)))
-    return slot_bytes(counts.select("slot", level.alias("level")), SLOTS)
+    level = F.least(F.lit(126), 1 + F.floor(4 * F.log2(F.col("count") + 1)))
+    return ",".join(map(str, slot_bytes(counts.select("slot", level.alias("level")), SLOTS)))
 
 
-def _position(line_no: Column) -> Column:
+def _position(doc_id: Column, line_no: Column) -> Column:
     """Orders lines by (doc_id, line number); null ids first."""
-    doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(Decimal(-(1 << 63) - 1)).cast("decimal(20,0)"))
+    doc = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(Decimal(-(1 << 63) - 1)).cast("decimal(20,0)"))
     return (doc * F.lit(LINES).cast("decimal(13,0)") + line_no.cast("decimal(13,0)")).cast("decimal(38,0)")
 
 
-def line_sets(docs: DataFrame, rarity: bytes) -> DataFrame:
-    """(doc_id, line_no, at, words, n, parity, high, low): position, hashed words rarest first, their number, parity bits, set hash."""
+def line_sets(docs: DataFrame, levels: str, s: Fraction) -> DataFrame:
+    """(doc_id, line_no, prefix, n, parity, outer, inner, high, low) of all lines with words.
+
+    prefix: hashes of the rarest words, as many as the prefix filter needs; n: distinct words; parity bits; outer and
+    inner: the smallest and largest word hash, and the second ones, as keys; high, low: hash of the set.
+    """
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    rarity = F.split(F.lit(levels), ",").cast("array<tinyint>")  # a constant, worked out once
 
     def key(word: Column) -> Column:
         h = F.xxhash64(word)
-        return F.shiftleft(slot_level(rarity, _slot(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
-
-    # empty words only stand at the ends of a line, before or behind its white space
-    keys = F.sort_array(F.array_distinct(F.transform(F.filter(_words(F.col("line")), lambda w: w != ""), key)))
-    sized = lines.select("doc_id", "line_no", _position(F.col("line_no")).alias("at"), keys.alias("keys"))
-    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda p, k: p.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(k, 20).bitwiseAND(F.lit(63)).cast("int"))))
-    return sized.where(F.size("keys") > 0).select(
-        "doc_id", "line_no", "at", F.transform("keys", lambda k: F.hash(k)).alias("words"),
-        F.size("keys").alias("n"), parity.alias("parity"), F.xxhash64("keys").alias("high"),
-        F.xxhash64(F.lit(1), "keys").alias("low"),
-    )
+        return F.shiftleft(F.get(rarity, _slot(h).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+
+    keys = F.array_distinct(F.transform(_words(F.col("line")), key))
+    sized = lines.select("doc_id", "line_no", F.sort_array(F.array_remove(keys, key(F.lit("")))).alias("keys"))
+    hashed = sized.where(F.size("keys") > 0).select(
+        "doc_id", "line_no", F.transform("keys", lambda k: F.hash(k)).alias("words"), F.xxhash64("keys").alias("high"),
+        F.xxhash64(F.lit(1), "keys").alias("low"))
+    parity = F.aggregate("words", F.lit(0).cast("long"), lambda p, w: p.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), w)))  # a shift reads the last six bits
+    n, order = F.size("words"), F.sort_array("words")
+    return hashed.select(
+        "doc_id", "line_no", F.slice("words", F.lit(1), _prefix_length(n, s)).alias("prefix"), n.alias("n"),
+        parity.alias("parity"), F.xxhash64(F.get(order, F.lit(0)), F.element_at(order, -1)).alias("outer"),
+        F.xxhash64(F.get(order, F.lit(1)), F.get(order, n - 2)).alias("inner"), "high", "low")
+
+
+def _prefix_length(n: Column, s: Fraction) -> Column:
+    return (n - F.floor((n * s.numerator + (s.denominator - 1)) / F.lit(s.denominator)) + 1).cast("int")
 
 
 def _least_overlap(n_x: Column, n_y: Column, s: Fraction) -> Column:
@@ -92,21 +107,27 @@ def _possible(n: Column, m: Column, parity: Column, parity_y: Column, s: Fractio
     return sized & (F.bit_count(parity.bitwiseXOR(parity_y)) <= n + m - 2 * _least_overlap(n, m, s))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, s: Fraction) -> DataFrame:
-    """(line) of the later lines of pairs (line, other) whose whole sets are similar enough."""
-    one = sets.select("line", "at", "words")
-    two = sets.select(F.col("line").alias("other"), F.col("at").alias("at_y"), F.col("words").alias("words_y"))
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, s: Fraction, name: str) -> DataFrame:
+    """(line) of the later lines of pairs (line, other) whose whole sets of words are similar enough."""
+    pairs = stored(pairs.distinct(), f"{name}-pairs")
+    wanted = pairs.select("line").union(pairs.select("other")).distinct().join(
+        sets.select("line", "doc_id", "line_no"), "line")
+    wanted = stored(wanted, f"{name}-lines")
+    own = wanted.select("line", "line_no", F.col("doc_id").alias("_id"))
+    words = F.array_remove(F.array_distinct(_words(F.get(F.split("text", "\n"), F.col("line_no")))), "")
+    found = docs.join(own, docs["doc_id"].eqNullSafe(own["_id"])).select("line", _position(F.col("doc_id"), F.col("line_no")).alias("at"), words.alias("words"))
+    one = stored(found.dropDuplicates(["line"]), f"{name}-words")
+    two = one.toDF("other", "at_y", "words_y")
     both = F.size(F.array_intersect("words", "words_y"))
     either = F.size("words") + F.size("words_y") - both
-    met = pairs.distinct().join(one, "line").join(two, "other").where(both * s.denominator >= either * s.numerator)
+    met = pairs.join(one, "line").join(two, "other").where(both * s.denominator >= either * s.numerator)
     return met.select(F.when(F.col("at") > F.col("at_y"), F.col("line")).otherwise(F.col("other")).alias("line")).distinct()
 
 
 def _neighbours(sets: DataFrame, s: Fraction) -> DataFrame:
-    """Pairs of each line with the first and the previous line of its two smallest-hash groups."""
-    keys = F.array(*(F.struct(F.lit(k).alias("f"), F.array_min(F.transform("words", lambda w, k=k: F.hash(w, F.lit(k)))).alias("h"))
-                     for k in (1, 2)))
-    rows = sets.select(F.explode(keys).alias("key"), "line", "n", "parity")
+    """Pairs of each line with the first and the previous line of its two groups."""
+    key = F.explode(F.array("outer", "inner")).alias("key")
+    rows = sets.select(key, "line", "n", "parity")
     order = Window.partitionBy("key").orderBy("line")
     me = F.struct("line", "n", "parity")
     met = rows.select("line", "n", "parity", F.array(F.first(me).over(order), F.lag(me).over(order)).alias("met"))
@@ -116,20 +137,19 @@ def _neighbours(sets: DataFrame, s: Fraction) -> DataFrame:
 
 
 def _prefix_pairs(sets: DataFrame, gone: DataFrame, s: Fraction) -> DataFrame:
-    """Pairs of lines that aren't gone with any lines that share a prefix word and pass all filters."""
-    marked = sets.join(gone.select("line", F.lit(0).alias("out")), "line", "left").withColumn("open", F.coalesce("out", F.lit(1)))
-    n = F.col("n")
-    length = (n - F.floor((n * s.numerator + (s.denominator - 1)) / F.lit(s.denominator)) + 1).cast("int")
-    rows = marked.where(n * (s.denominator - s.numerator) >= s.numerator).select(  # smaller sets have no similar but equal ones
-        F.posexplode(F.slice("words", F.lit(1), length)).alias("i", "word"), "line", "n", "parity", "open")
+    """Pairs of lines that aren't gone with any lines that share a prefix word and pass all filters.
+
+    Lines that are gone carry a negative n; both sides of the join read the same shuffle.
+    """
+    marked = sets.join(gone.select("line", F.lit(-1).alias("sign")), "line", "left")
+    # smaller sets have no similar but equal ones
+    rows = marked.where(F.col("n") * (s.denominator - s.numerator) >= s.numerator).select(
+        F.posexplode("prefix").alias("i", "word"), "line", (F.col("n") * F.coalesce("sign", F.lit(1))).alias("n"), "parity")
     x, y = rows.alias("x"), rows.alias("y")
-    n_x, n_y = F.col("x.n"), F.col("y.n")
-    least = _least_overlap(n_x, n_y, s)
+    n_x, n_y = F.abs("x.n"), F.abs("y.n")
     met = x.join(y, F.col("x.word") == F.col("y.word")).where(
-        # each pair once: from its smaller line, or from the open one; both sides read the same shuffle
-        (F.col("x.open") * n_y > 0) & (F.col("x.line") != F.col("y.line"))
-        & ((F.col("x.line") < F.col("y.line")) | (F.col("y.open") * n_x == 0))
-        & (F.least("x.i", "y.i") + F.least(n_x - F.col("x.i"), n_y - F.col("y.i")) >= least)
+        (F.greatest("x.n", "y.n") > 0) & (F.col("x.line") < F.col("y.line"))
+        & (F.least("x.i", "y.i") + F.least(n_x - F.col("x.i"), n_y - F.col("y.i")) >= _least_overlap(n_x, n_y, s))
         & _possible(n_x, n_y, F.col("x.parity"), F.col("y.parity"), s)
     )
     return met.select(F.col("x.line").alias("line"), F.col("y.line").alias("other"))
@@ -139,17 +159,17 @@ def removals(docs: DataFrame, similarity: float = 0.8, min_words: int = MIN_WORD
     """(doc_id, line_no) of the lines to remove, one row each, line numbers from 0."""
     s = Fraction(similarity).limit_denominator(100)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    lines = stored(line_sets(texts, rarity_table(texts)).where(F.col("n") >= min_words), "lines")
-    firsts = lines.groupBy("high", "low").agg(
-        F.min("at").alias("at"), F.first("words").alias("words"), F.first("n").alias("n"), F.first("parity").alias("parity"))
-    sets = stored(firsts.withColumn("line", F.monotonically_increasing_id()), "sets")
-    early = stored(_verified(_neighbours(sets, s), sets, s), "early")
-    late = _verified(_prefix_pairs(sets, early, s), sets, s)
+    lines = stored(line_sets(texts, rarity_levels(texts), s).where(F.col("n") >= min_words), "lines")
+    at = _position(F.col("doc_id"), F.col("line_no"))
+    firsts = lines.groupBy("high", "low").agg(F.min(at).alias("at"))
+    heads = lines.join(firsts, ["high", "low"]).where(at == F.col("at"))
+    sets = stored(heads.withColumn("line", F.monotonically_increasing_id()), "sets")
+    early = stored(_verified(_neighbours(sets, s), sets, texts, s, "early"), "early")
+    late = _verified(_prefix_pairs(sets, early, s), sets, texts, s, "late")
     gone = early.unionByName(late).distinct().withColumn("gone", F.lit(True))
-    classes = sets.select("line", "high", "low", F.col("at").alias("first")).join(gone, "line", "left").select(
-        "high", "low", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    met = lines.select("doc_id", "line_no", "at", "high", "low").join(classes, ["high", "low"])
-    return met.where(F.col("gone") | (F.col("at") > F.col("first"))).select("doc_id", "line_no").distinct()
+    classes = sets.join(gone, "line", "left").groupBy("high", "low").agg(F.min("at").alias("at"), F.max("gone").alias("gone"))
+    met = lines.select("doc_id", "line_no", "high", "low").join(classes, ["high", "low"])
+    return met.where(F.coalesce("gone", F.lit(False)) | (at > F.col("at"))).select("doc_id", "line_no").distinct()
 
 
 def dedup_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = MIN_WORDS) -> DataFrame:
