@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType
 
 FEATURES = (
     "log_word_length", "word_length_spread", "letter_share", "digit_share", "stop_comma_share",
@@ -109,7 +110,7 @@ def _vectors(texts) -> np.ndarray:
     return np.array([features(t) for t in texts]) if len(texts) else np.zeros((0, len(FEATURES)))
 
 
-@pandas_udf("array<double>")
+@pandas_udf(ArrayType(DoubleType()))
 def _features(texts: pd.Series) -> pd.Series:
     return pd.Series(list(_vectors(texts)))
 
@@ -163,7 +164,7 @@ def fit(vectors: DataFrame, labels: DataFrame) -> Model:
 def score_column(model: Model, column: str, from_text: bool) -> Column:
     """0 to 1, higher where label 1 is likelier; of a text column, or of a column of vectors."""
 
-    @pandas_udf("double")
+    @pandas_udf(DoubleType())
     def score(values: pd.Series) -> pd.Series:
         x = _vectors(values) if from_text else np.stack(values.to_numpy()) if len(values) else np.zeros((0, len(FEATURES)))
         return pd.Series(model.scores(x))
