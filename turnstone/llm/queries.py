@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from turnstone.llm import packing, quality
 from turnstone.llm.common import bucket, stored, table
 from turnstone.llm.decontaminate import leaks
+from turnstone.llm.embedding_dedup import near_vectors
 from turnstone.llm.line_dedup import dedup_lines
 from turnstone.llm.near_dedup import near_duplicates
+from turnstone.llm.resharding import reshard
 
 
 def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +21,10 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "item_id", "first_word", "n_words").distinct()
 
 
+def op2_pivot_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"), least=0.93)
+
+
 def tokenizer_path() -> str:
     """The vocabulary file of the packing query, from the installed package of public tokenizers."""
     import public_tokenizers
@@ -30,6 +36,14 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op6_resharding(spark: SparkSession, folder: str) -> DataFrame:
+    """The table lies in 8 shards by source, one of them hot; it moves to 8 shards of near-equal bytes."""
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(8))
+    return reshard(table(spark, folder, "documents"), old, 8, 8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     vectors = stored(quality.with_features(table(spark, folder, "documents")), "vectors")
     held_out = bucket(F.col("doc_id"), 4) == 2
@@ -50,7 +64,9 @@ def op10_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_pivot_dedup": op2_pivot_dedup,
     "op3_packing": op3_packing,
+    "op6_resharding": op6_resharding,
     "op7_quality": op7_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
