@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
 Index: a bounded sample of vectors are the pivots (4 * sqrt(n) of them, those with the smallest hashes of their ids).
-Every vector is described by its 8 nearest pivots. The inverted lists are kept by pairs of pivots, label and length, so
+Every vector is described by its 10 nearest pivots. The inverted lists are kept by pairs of pivots, label and length, so
 that two vectors meet in a list exactly if they share two pivots or more. Inside a list, shared pivots are counted, each
 pair is settled in the list of its two smallest shared pivots alone, and verified by the cosine in double precision.
 A list writes one row per vector (the weight of its links, the smallest vector of its local component) and never its
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from turnstone.llm.common import grid_parts, key_runs, stored
 from turnstone.llm.components import components
 
-NEAREST, CELL, ROWS_AT_ONCE = 8, 1024, 64
+NEAREST, CELL, ROWS_AT_ONCE = 10, 1024, 64
 DESCRIBED = "vec_id long, label long, high long, low long, dim int, vector binary"
 
 

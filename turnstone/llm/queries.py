@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import packing, quality
+from turnstone.llm import language_model, licenses, packing, quality
 from turnstone.llm.common import bucket, stored, table
 from turnstone.llm.decontaminate import leaks
 from turnstone.llm.embedding_dedup import near_vectors
@@ -36,6 +36,11 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op5_log_bilinear(spark: SparkSession, folder: str) -> DataFrame:
+    fold = bucket(F.col("doc_id"), 7)
+    return language_model.score(table(spark, folder, "documents"), fold == 2, [fold.isin(0, 1, 3), fold.isin(4, 5, 6)])
+
+
 def op6_resharding(spark: SparkSession, folder: str) -> DataFrame:
     """The table lies in 8 shards by source, one of them hot; it moves to 8 shards of near-equal bytes."""
     old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(8))
@@ -52,6 +57,10 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 
 
+def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, folder, "documents")))
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", F.col("removed_lines").cast("long").alias("removed_lines"),
@@ -66,8 +75,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pivot_dedup": op2_pivot_dedup,
     "op3_packing": op3_packing,
+    "op5_log_bilinear": op5_log_bilinear,
     "op6_resharding": op6_resharding,
     "op7_quality": op7_quality,
+    "op8_licenses": op8_licenses,
     "op9_line_dedup": op9_line_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
