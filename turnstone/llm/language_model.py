@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from turnstone.llm.common import stored, word_hashes, words_of
 
 FREQUENT, VOCABULARY, WIDTH = 1 << 16, 1024, 16
-NOISE, DRAWN, BATCH, RATE, SEED = 8, 16, 16_384, 0.15, 7
+NOISE, DRAWN, BATCH, RATE, SEED = 8, 16, 1024, 0.2, 7
 END, OTHER = 0, 1
 HELD_WORDS = 400_000
 
@@ -128,17 +128,18 @@ def start(chance: np.ndarray) -> np.ndarray:
 
 
 def _scattered(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(index, weights=column, minlength=n) for column in rows.T], axis=1)
+    flat = (index[:, None] * rows.shape[1] + np.arange(rows.shape[1])).ravel()
+    return np.bincount(flat, weights=rows.ravel(), minlength=n * rows.shape[1]).reshape(n, -1)
 
 
 class Trainer:
     """Noise-contrastive steps on batches of (w-2, w-1, w)."""
 
     def __init__(self, flat: np.ndarray, chance: np.ndarray, seed: int):
-        self.params = [p.copy() for p in unpacked(flat, len(chance))]
+        self.params = [p.astype(np.float32) for p in unpacked(flat, len(chance))]
         self.squares = [np.full_like(p, 1e-3) for p in self.params]
         self.draw, self.sums = np.random.default_rng(seed), np.cumsum(chance)
-        self.noise = np.log(NOISE * chance)
+        self.noise = np.log(NOISE * chance).astype(np.float32)
         self.tokens = 0
 
     def step(self, two: np.ndarray, one: np.ndarray, word: np.ndarray) -> None:
@@ -148,8 +149,8 @@ class Trainer:
         hidden = near @ c1 + before @ c2
         drawn = np.minimum(np.searchsorted(self.sums, self.draw.random(DRAWN)), n - 1)
         fake = q[drawn]
-        pull = 1 / (1 + np.exp((hidden * own).sum(axis=1) + b[word] - self.noise[word]))
-        push = -(NOISE / DRAWN) / (1 + np.exp(-(hidden @ fake.T + b[drawn] - self.noise[drawn])))
+        pull = 1 / (1 + np.exp(np.einsum("nd,nd->n", hidden, own) + (b - self.noise)[word]))
+        push = np.float32(-NOISE / DRAWN) / (1 + np.exp(-(hidden @ fake.T + (b - self.noise)[drawn])))
         d_hidden = pull[:, None] * own + push @ fake
         d_q = _scattered(word, pull[:, None] * hidden, n)
         np.add.at(d_q, drawn, push.T @ hidden)
@@ -157,9 +158,9 @@ class Trainer:
         np.add.at(d_b, drawn, push.sum(axis=0))
         d_r = _scattered(one, d_hidden @ c1.T, n) + _scattered(two, d_hidden @ c2.T, n)
         for p, g2, g in zip(self.params, self.squares, (d_r, d_q, near.T @ d_hidden, before.T @ d_hidden, d_b), strict=True):
-            g /= size
+            g = (g / size).astype(np.float32)
             g2 += g * g
-            p += RATE * g / np.sqrt(g2)
+            p += np.float32(RATE) * g / np.sqrt(g2)
         self.tokens += size
 
 
@@ -200,7 +201,7 @@ def _trained(flat: np.ndarray, known: Counts):
         for _, texts in _texts(batches):
             held.append(_contexts(known, texts)[:3])
             size += len(held[-1][2])
-            if size >= 16 * BATCH:
+            if size >= 128 * BATCH:
                 learn()
                 held, size = [], 0
         if size:
