@@ -172,16 +172,18 @@ def removals(docs: DataFrame, similarity: float = 0.8, min_words: int = MIN_WORD
     return met.where(F.coalesce("gone", F.lit(False)) | (at > F.col("at"))).select("doc_id", "line_no").distinct()
 
 
-def dedup_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the removed lines cut out of their texts, all rows and columns kept; `removed_lines` counts them.
+def dedup_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = MIN_WORDS, count: str | None = None) -> DataFrame:
+    """docs with the removed lines cut out of their texts, all rows and columns kept; `count` names a column for their number.
 
     A document that loses all its lines stays with an empty text.
     """
     out = removals(docs, similarity, min_words)
     # at most one number for each line of the document itself
-    by_doc = out.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.col("line_no").cast("int")).alias("_out"))
-    joined = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["_id"]), "left")
-    kept = F.expr("filter(split(text, '\\n'), (x, k) -> not coalesce(array_contains(_out, k), false))")
-    cut = F.when(F.col("_out").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*(docs[c] for c in docs.columns if c != "text"), cut.alias("text"),
-                         F.coalesce(F.size("_out"), F.lit(0)).alias("removed_lines"))
+    by_doc = out.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.collect_list(F.col("line_no").cast("int")).alias("_cut_lines"))
+    joined = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["_cut_id"]), "left")
+    text = docs["text"].cast("string")
+    kept = F.filter(F.split(text, "\n"), lambda _, k: ~F.array_contains("_cut_lines", k))
+    cut = F.when(F.col("_cut_lines").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text")
+    columns = [cut if c == "text" else docs[c] for c in docs.columns]
+    number = [F.coalesce(F.size("_cut_lines"), F.lit(0)).alias(count)] if count else []
+    return joined.select(*columns, *number)

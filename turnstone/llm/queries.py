@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import language_model, licenses, packing, quality
+from turnstone.llm import language_model, licenses, packing, quality, sanitise
 from turnstone.llm.common import bucket, stored, table
 from turnstone.llm.decontaminate import leaks
 from turnstone.llm.embedding_dedup import near_vectors
@@ -36,6 +36,10 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op4_sanitise(spark: SparkSession, folder: str) -> DataFrame:
+    return sanitise.digest(sanitise.find_personal_data(table(spark, folder, "documents")))
+
+
 def op5_log_bilinear(spark: SparkSession, folder: str) -> DataFrame:
     fold = bucket(F.col("doc_id"), 7)
     return language_model.score(table(spark, folder, "documents"), fold == 2, [fold.isin(0, 1, 3), fold.isin(4, 5, 6)])
@@ -63,7 +67,7 @@ def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", F.col("removed_lines").cast("long").alias("removed_lines"),
+    return dedup_lines(docs, count="removed_lines").select("doc_id", F.col("removed_lines").cast("long").alias("removed_lines"),
                                     F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_crc32"))
 
 
@@ -71,15 +75,23 @@ def op10_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), width=4, similarity=0.8)
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline  # it imports the operators, as this module does
+
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pivot_dedup": op2_pivot_dedup,
     "op3_packing": op3_packing,
+    "op4_sanitise": op4_sanitise,
     "op5_log_bilinear": op5_log_bilinear,
     "op6_resharding": op6_resharding,
     "op7_quality": op7_quality,
     "op8_licenses": op8_licenses,
     "op9_line_dedup": op9_line_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}
