@@ -1,6 +1,7 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
-Index: a bounded sample of vectors are the pivots (4 * sqrt(n) of them, those with the smallest hashes of their ids).
+Index: a bounded sample of vectors are the pivots (4 * sqrt(n) of them, those with the smallest hashes of their ids, but
+none near another).
 Every vector is described by its 10 nearest pivots. The inverted lists are kept by pairs of pivots, label and length, so
 that two vectors meet in a list exactly if they share two pivots or more. Inside a list, shared pivots are counted, each
 pair is settled in the list of its two smallest shared pivots alone, and verified by the cosine in double precision.
@@ -30,6 +31,8 @@ from turnstone.llm.common import grid_parts, key_runs, stored
 from turnstone.llm.components import components
 
 NEAREST, CELL, ROWS_AT_ONCE = 10, 1024, 64
+#: Pivots are less alike than this.
+APART = 0.8
 DESCRIBED = "vec_id long, label long, high long, low long, dim int, vector binary"
 
 
@@ -78,6 +81,15 @@ def _listed(pivots: dict[int, np.ndarray]):
     return run
 
 
+def _thinned(pivots: np.ndarray) -> np.ndarray:
+    """Pivots in turn, without those near an earlier one: a dense group must not take up all places of its members' lists."""
+    kept = np.zeros((0, pivots.shape[1]))
+    for p in pivots:
+        if not len(kept) or (kept @ p).max() < APART:
+            kept = np.vstack([kept, p])
+    return kept
+
+
 def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The smallest member of each one's component, of n numbered vectors with links a-b."""
     root = np.arange(n)
@@ -154,7 +166,7 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
     wanted = 4 * math.isqrt(nodes.count()) + NEAREST + 1
     for row in nodes.orderBy(F.xxhash64("node"), "node").limit(wanted).select("dim", "vector").collect():  # the bounded sample
         pivots.setdefault(row.dim, []).append(row.vector)
-    known = {dim: _unit([bytes(v) for v in vectors], dim) for dim, vectors in pivots.items()}
+    known = {dim: _thinned(_unit([bytes(v) for v in vectors], dim)) for dim, vectors in pivots.items()}
     lists = stored(nodes.mapInArrow(_listed(known), "node long, pivots array<int>"), "lists")
     # every pair of a vector's pivots, ascending
     two = "flatten(transform(pivots, (p, i) -> transform(slice(pivots, i + 2, size(pivots)), q -> named_struct('p', p, 'q', q))))"
