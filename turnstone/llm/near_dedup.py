@@ -211,7 +211,8 @@ def _met_in_cells(least: Fraction):
         for rows, starts in key_runs(batches, ["band", "i", "j"]):
             node, size, part, main, outer = (rows.column(k).to_numpy() for k in ("node", "n_shingles", "c", "main", "outer"))
             sign = np.frombuffer(b"".join(rows.column("sign").to_pylist()), dtype=np.uint8).reshape(-1, LONG)
-            a, b = [], []
+            bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+            band, a, b = rows.column("band").to_numpy(), [], []
             for lo, hi in zip(starts[:-1], starts[1:], strict=True):
                 cell = np.arange(lo, hi)
                 inside = cell[outer[lo:hi] == 0]
@@ -220,6 +221,8 @@ def _met_in_cells(least: Fraction):
                                  & (np.minimum(size[inside], size[x]) * least.denominator
                                     >= np.maximum(size[inside], size[x]) * least.numerator)]
                     near = fit[(sign[fit] == sign[x]).mean(axis=1) >= bound] if len(fit) else fit
+                    shared = bands[near] == bands[x]  # a pair is reported in its first bucket alone
+                    near = near[bands[x][shared.argmax(axis=1)] == band[x]]
                     a.append(np.minimum(node[near], node[x])), b.append(np.maximum(node[near], node[x]))
             none = np.zeros(0, dtype=np.int64)
             pairs = np.unique(np.stack([np.concatenate([none, *a]), np.concatenate([none, *b])]), axis=1)
@@ -238,7 +241,8 @@ def _rest(run: _Search, crowds: DataFrame, found: DataFrame) -> DataFrame:
     mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "c")).alias("most"), F.count(F.lit(1)).alias("parts"))
     split = stored(named.join(mixed.where("parts > 1").select("band", F.col("most.c").alias("main")), "band"), "split")
     wanted = split.select("node").distinct()
-    signs = stored(run.bodies.join(wanted, "node").mapInArrow(_long_signatures(run.width), "node long, sign binary"), "signs")
+    signs = run.bodies.join(wanted, "node").mapInArrow(_long_signatures(run.width), "node long, sign binary")
+    signs = stored(signs.join(run.nodes.select("node", "bands"), "node"), "signs")
     parts, own = grid_parts(F.col("size"), F.col("node"), CELL)
     cells = split.withColumn("parts", parts).withColumn("own", own)
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
