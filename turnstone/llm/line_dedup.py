@@ -32,9 +32,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import slot_bytes, stored
+from turnstone.llm.common import slot_bytes, slot_level, stored
 
-SLOTS, MIN_WORDS = 1 << 19, 3
+SLOTS, MARK, MIN_WORDS = 1 << 19, 2, 3
 #: Places for line numbers below the document in a position.
 LINES = 1 << 40
 
@@ -113,9 +113,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, s: Fraction, n
     wanted = pairs.select("line").union(pairs.select("other")).distinct().join(
         sets.select("line", "doc_id", "line_no"), "line")
     wanted = stored(wanted, f"{name}-lines")
-    own = wanted.select("line", "line_no", F.col("doc_id").alias("_id"))
-    words = F.array_remove(F.array_distinct(_words(F.get(F.split("text", "\n"), F.col("line_no")))), "")
-    found = docs.join(own, docs["doc_id"].eqNullSafe(own["_id"])).select("line", _position(F.col("doc_id"), F.col("line_no")).alias("at"), words.alias("words"))
+    marks = _marks(wanted.select(_line_slot(F.col("doc_id"), F.col("line_no")).alias("slot")))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text")).where(
+        slot_level(marks, _line_slot(F.col("doc_id"), F.col("line_no"))) == MARK)  # only wanted lines are shuffled
+    own = wanted.select("line", F.col("line_no").alias("_no"), F.col("doc_id").alias("_id"))
+    words = F.array_remove(F.array_distinct(_words(F.col("text"))), "")
+    met = lines.join(own, lines["doc_id"].eqNullSafe(own["_id"]) & (lines["line_no"] == own["_no"]))
+    found = met.select("line", _position(F.col("doc_id"), F.col("line_no")).alias("at"), words.alias("words"))
     one = stored(found.dropDuplicates(["line"]), f"{name}-words")
     two = one.toDF("other", "at_y", "words_y")
     both = F.size(F.array_intersect("words", "words_y"))
@@ -124,6 +128,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, s: Fraction, n
     return met.select(F.when(F.col("at") > F.col("at_y"), F.col("line")).otherwise(F.col("other")).alias("line")).distinct()
 
 
+def _line_slot(*place: Column) -> Column:
+    return _slot(F.xxhash64(*place))
+
+
+def _marks(slots: DataFrame) -> bytes:
+    return slot_bytes(slots.distinct().withColumn("level", F.lit(MARK)), SLOTS)
+
+
 def _neighbours(sets: DataFrame, s: Fraction) -> DataFrame:
     """Pairs of each line with the first and the previous line of its two groups."""
     key = F.explode(F.array("outer", "inner")).alias("key")
@@ -179,11 +191,14 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = MIN_W
     """
     out = removals(docs, similarity, min_words)
     # at most one number for each line of the document itself
-    by_doc = out.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.collect_list(F.col("line_no").cast("int")).alias("_cut_lines"))
-    joined = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["_cut_id"]), "left")
+    by_doc = stored(out.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.collect_list(F.col("line_no").cast("int")).alias("_cut_lines")), "cuts")
+    marked = slot_level(_marks(by_doc.select(_line_slot(F.col("_cut_id")).alias("slot"))), _line_slot(docs["doc_id"])) == MARK
     text = docs["text"].cast("string")
     kept = F.filter(F.split(text, "\n"), lambda _, k: ~F.array_contains("_cut_lines", k))
     cut = F.when(F.col("_cut_lines").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text")
-    columns = [cut if c == "text" else docs[c] for c in docs.columns]
     number = [F.coalesce(F.size("_cut_lines"), F.lit(0)).alias(count)] if count else []
-    return joined.select(*columns, *number)
+    joined = docs.where(marked).join(by_doc, docs["doc_id"].eqNullSafe(by_doc["_cut_id"]), "left")
+    touched = joined.select(*(cut if c == "text" else docs[c] for c in docs.columns), *number)
+    rest = docs.where(~marked).select(  # these are not shuffled
+        *(text.alias(c) if c == "text" else docs[c] for c in docs.columns), *([F.lit(0).alias(count)] if count else []))
+    return touched.union(rest)
