@@ -269,7 +269,7 @@ def _scored(shared, known: Counts):
             for k, group in enumerate(np.split(hashes[lost], np.searchsorted(doc[lost], np.arange(1, n)))):
                 values, number = np.unique(group, return_counts=True)
                 rare.append(values.view(np.int64)), times.append(number.astype(np.int32))
-            per = lambda weights: np.bincount(doc, weights=weights, minlength=n)
+            per = lambda weights: np.bincount(doc, weights=weights, minlength=n).astype(np.float64)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.arange(row, row + n)), part.column("doc_id"), part.column("held_out"), pa.array(sizes + 1),
                 pa.array(per(seen & (counts > 0)).astype(np.int64) + int(known.ends > 0)), pa.array(per(log_counts) + np.log10(known.ends + 1.0)),

@@ -191,7 +191,7 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
                                                          F.when(t["chance"] >= REMOVE, "").otherwise("[TERM]").alias("put")))
     cuts = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.array_sort(F.concat(marked, told)).alias("_cuts")).where(
         F.size("_cuts") > 0).dropDuplicates(["_id", "_hash"])
-    text = F.col("text").cast("string")
+    text = docs["text"].cast("string")
     joined = docs.join(cuts, docs["doc_id"].eqNullSafe(cuts["_id"]) & (F.xxhash64(docs["text"].cast("string")) == cuts["_hash"]), "left")
 
     def step(acc: Column, c: Column) -> Column:
@@ -201,4 +201,5 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
 
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("_cuts", first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return joined.select(*(docs[c] for c in docs.columns if c != "text"), F.when(F.col("_cuts").isNull(), text).otherwise(clean).alias("text"))
+    done = F.when(F.col("_cuts").isNull(), text).otherwise(clean).alias("text")
+    return joined.select(*(done if c == "text" else docs[c] for c in docs.columns))
