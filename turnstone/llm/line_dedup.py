@@ -15,7 +15,7 @@ Method
    and behind the shared word) and the parity filter: each word flips one of 64 bits, and two words more in the
    symmetric difference flip at most two bits more.
 4. Large families of variants would meet in all pairs, so each line first meets the first and the previous line of
-   two groups, those with the same outermost and the same second word hashes; what this removes only stays as a partner.
+   two groups, those with the same three smallest and the same three largest word hashes; what this removes only stays as a partner.
 5. Pairs that pass are verified on the whole sets of words, read from the texts again.
 
 Rules: null and empty texts have one empty line, which stays. A null doc_id counts as smaller than all others. A doc_id
@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from turnstone.llm.common import slot_bytes, slot_level, stored
 
 SLOTS, MARK, MIN_WORDS = 1 << 19, 2, 3
+#: Sets of more words carry 256 parity bits instead of 64.
+WIDE = 40
 #: Places for line numbers below the document in a position.
 LINES = 1 << 40
 
@@ -65,10 +67,11 @@ def _position(doc_id: Column, line_no: Column) -> Column:
 
 
 def line_sets(docs: DataFrame, levels: str, s: Fraction) -> DataFrame:
-    """(doc_id, line_no, prefix, n, parity, outer, inner, high, low) of all lines with words.
+    """(doc_id, line_no, prefix, n, parity, wide, lowest, highest, high, low) of all lines with words.
 
-    prefix: hashes of the rarest words, as many as the prefix filter needs; n: distinct words; parity bits; outer and
-    inner: the smallest and largest word hash, and the second ones, as keys; high, low: hash of the set.
+    prefix: hashes of the rarest words, as many as the prefix filter needs; n: distinct words; parity bits, for longer
+    lines also in four numbers; lowest and highest: the three smallest and largest word hashes as keys; high, low: hash
+    of the set.
     """
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
     rarity = F.split(F.lit(levels), ",").cast("array<tinyint>")  # a constant, worked out once
@@ -85,10 +88,14 @@ def line_sets(docs: DataFrame, levels: str, s: Fraction) -> DataFrame:
     parity = F.aggregate("words", F.lit(0).cast("long"), lambda p, w: p.bitwiseXOR(
         F.call_function("shiftleft", F.lit(1).cast("long"), w)))  # a shift reads the last six bits
     n, order = F.size("words"), F.sort_array("words")
+    # each word flips its bit in one of four numbers; `parity` is the four together
+    part = lambda k: F.aggregate("words", F.lit(0).cast("long"), lambda p, w: F.when(
+        F.shiftright(w, 8).bitwiseAND(F.lit(3)) == k, p.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w))).otherwise(p))
+    wide = F.when(n > WIDE, F.array(*(part(k) for k in range(4))))
     return hashed.select(
         "doc_id", "line_no", F.slice("words", F.lit(1), _prefix_length(n, s)).alias("prefix"), n.alias("n"),
-        parity.alias("parity"), F.xxhash64(F.get(order, F.lit(0)), F.element_at(order, -1)).alias("outer"),
-        F.xxhash64(F.get(order, F.lit(1)), F.get(order, n - 2)).alias("inner"), "high", "low")
+        parity.alias("parity"), wide.alias("wide"), F.xxhash64(F.slice(order, 1, 3)).alias("lowest"),
+        F.xxhash64(F.slice(order, F.greatest(F.lit(1), n - 2), F.lit(3))).alias("highest"), "high", "low")
 
 
 def _prefix_length(n: Column, s: Fraction) -> Column:
@@ -101,10 +108,14 @@ def _least_overlap(n_x: Column, n_y: Column, s: Fraction) -> Column:
     return F.floor(((n_x + n_y) * up + (down - 1)) / F.lit(down))
 
 
-def _possible(n: Column, m: Column, parity: Column, parity_y: Column, s: Fraction) -> Column:
-    """The length and parity filters."""
+def _possible(x: str, y: str, n: Column, m: Column, s: Fraction) -> Column:
+    """The length and parity filters between the columns of x and y, which are prefixes of their names."""
     sized = F.least(n, m) * s.denominator >= F.greatest(n, m) * s.numerator
-    return sized & (F.bit_count(parity.bitwiseXOR(parity_y)) <= n + m - 2 * _least_overlap(n, m, s))
+    bits = lambda a, b: F.bit_count(a.bitwiseXOR(b))
+    one, two = F.col(f"{x}wide"), F.col(f"{y}wide")
+    wide = sum((bits(F.get(one, F.lit(k)), F.get(two, F.lit(k))) for k in range(4)), F.lit(0))
+    apart = F.when(one.isNotNull() & two.isNotNull(), wide).otherwise(bits(F.col(f"{x}parity"), F.col(f"{y}parity")))
+    return sized & (apart <= n + m - 2 * _least_overlap(n, m, s))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, s: Fraction, name: str) -> DataFrame:
@@ -138,13 +149,13 @@ def _marks(slots: DataFrame) -> bytes:
 
 def _neighbours(sets: DataFrame, s: Fraction) -> DataFrame:
     """Pairs of each line with the first and the previous line of its two groups."""
-    key = F.explode(F.array("outer", "inner")).alias("key")
-    rows = sets.select(key, "line", "n", "parity")
+    key = F.explode(F.array("lowest", "highest")).alias("key")
+    rows = sets.select(key, "line", "n", "parity", "wide")
     order = Window.partitionBy("key").orderBy("line")
-    me = F.struct("line", "n", "parity")
-    met = rows.select("line", "n", "parity", F.array(F.first(me).over(order), F.lag(me).over(order)).alias("met"))
-    flat = met.select("line", "n", "parity", F.explode("met").alias("y")).where("y is not null and y.line <> line")
-    near = _possible(F.col("n"), F.col("y.n"), F.col("parity"), F.col("y.parity"), s)
+    me = F.struct("line", "n", "parity", "wide")
+    met = rows.select("line", "n", "parity", "wide", F.array(F.first(me).over(order), F.lag(me).over(order)).alias("met"))
+    flat = met.select("line", "n", "parity", "wide", F.explode("met").alias("y")).where("y is not null and y.line <> line")
+    near = _possible("", "y.", F.col("n"), F.col("y.n"), s)
     return flat.where(near).select("line", F.col("y.line").alias("other"))
 
 
@@ -156,13 +167,13 @@ def _prefix_pairs(sets: DataFrame, gone: DataFrame, s: Fraction) -> DataFrame:
     marked = sets.join(gone.select("line", F.lit(-1).alias("sign")), "line", "left")
     # smaller sets have no similar but equal ones
     rows = marked.where(F.col("n") * (s.denominator - s.numerator) >= s.numerator).select(
-        F.posexplode("prefix").alias("i", "word"), "line", (F.col("n") * F.coalesce("sign", F.lit(1))).alias("n"), "parity")
+        F.posexplode("prefix").alias("i", "word"), "line", (F.col("n") * F.coalesce("sign", F.lit(1))).alias("n"), "parity", "wide")
     x, y = rows.alias("x"), rows.alias("y")
     n_x, n_y = F.abs("x.n"), F.abs("y.n")
     met = x.join(y, F.col("x.word") == F.col("y.word")).where(
         (F.greatest("x.n", "y.n") > 0) & (F.col("x.line") < F.col("y.line"))
         & (F.least("x.i", "y.i") + F.least(n_x - F.col("x.i"), n_y - F.col("y.i")) >= _least_overlap(n_x, n_y, s))
-        & _possible(n_x, n_y, F.col("x.parity"), F.col("y.parity"), s)
+        & _possible("x.", "y.", n_x, n_y, s)
     )
     return met.select(F.col("x.line").alias("line"), F.col("y.line").alias("other"))
 
