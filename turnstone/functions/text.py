@@ -106,7 +106,7 @@ def anchor_name(col: Column) -> Column:
 
 
 def truncate(col: Column, limit: int, mark: str = TRUNCATION_MARK) -> Column:
-    cut = F.concat(F.rtrim(F.left(col, F.lit(limit))), F.lit(mark))
+    cut = F.concat(F.regexp_replace(F.left(col, F.lit(limit)), r"(?U)\s+$", ""), F.lit(mark))
     return F.when(F.length(col) <= limit, col).otherwise(cut)
 
 

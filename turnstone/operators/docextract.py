@@ -186,9 +186,11 @@ def statement_transactions(docs: DataFrame) -> DataFrame:
     last, second = F.element_at("a", -1), F.element_at("a", -2)
     third = F.get("a", F.size("a") - 3)
     explicit = F.size("a") >= 3
-    less = lambda text, part: F.replace(text, part, F.lit(""))
-    label = clean_value(less(less(F.when(explicit, less(F.col("rest"), third)).otherwise(F.col("rest")), second), last))
-    rows = rows.withColumn("label", label)
+    # The label ends where the first of the amounts used begins; they stand last, so they are looked for from the end.
+    before = lambda text, part: F.left(
+        text, F.length(text) - F.call_function("locate", F.reverse(part), F.reverse(text)) - F.length(part) + 1)
+    moved = before(before(F.col("rest"), last), second)
+    rows = rows.withColumn("label", clean_value(F.when(explicit, before(moved, third)).otherwise(moved)))
     credit = _has_any(norm_text(F.col("label")), list(CREDIT_WORDS))
     move = clean_value(second)
     return rows.select(

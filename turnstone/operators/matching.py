@@ -68,7 +68,7 @@ def _prefix(grams: DataFrame, weights: DataFrame, key: str) -> DataFrame:
 def fuzzy_match(values: DataFrame, entities: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """Best reference per distinct ``value``: ``(value, canonical, score, matched_id, action)``.
 
-    Values without a reference at the threshold keep themselves; their score is 0 because weaker
+    Values without a reference at the threshold keep themselves; their score is null because weaker
     partners are never compared. ``threshold`` must be 85 or more for the pair bound to hold.
     """
     if threshold < 85:
@@ -93,7 +93,7 @@ def fuzzy_match(values: DataFrame, entities: DataFrame, threshold: float = FUZZY
     same = norm_name(F.col("b.owner.canonical_name")) == F.col("norm")
     return rows.select(
         "value", F.coalesce("b.owner.canonical_name", "value").alias("canonical"),
-        F.coalesce("b.score", F.lit(0.0)).alias("score"), F.col("b.owner.id").alias("matched_id"),
+        F.col("b.score").alias("score"), F.col("b.owner.id").alias("matched_id"),
         F.when(F.col("b").isNull() | same, "keep").otherwise("replace").alias("action"))
 
 

@@ -18,7 +18,6 @@ CORE_ALIASES = {
 }
 EMPTY_WORDS = ("null", "none", "n/a", "na", "inconnu", "unknown")
 AMOUNT_KEYS = ("amount", "montant")
-MAX_DEPTH = 6
 
 
 def _is_container(json: Column) -> Column:
@@ -34,7 +33,7 @@ def _children(json: Column) -> Column:
     as_map = F.map_entries(F.from_json(F.when(is_object, json), "map<string,string>"))
     keyed = F.transform(as_map, lambda e: F.struct(
         F.concat(F.lit("."), e["key"]).alias("step"),
-        F.concat(F.lpad(F.length(e["key"]).cast("string"), 4, "0"), e["key"]).alias("sort"), e["key"].alias("key"), e["value"].alias("value")))
+        F.concat(F.lpad(F.length(e["key"]).cast("string"), 10, "0"), e["key"]).alias("sort"), e["key"].alias("key"), e["value"].alias("value")))
     as_list = F.from_json(F.when(~is_object, json), "array<string>")
     indexed = F.transform(as_list, lambda v, i: F.struct(
         F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("step"), F.lpad(i.cast("string"), 10, "0").alias("sort"),
@@ -42,11 +41,26 @@ def _children(json: Column) -> Column:
     return F.when(is_object, keyed).otherwise(indexed)
 
 
-def leaves(docs: DataFrame, col: str = "data", depth: int = MAX_DEPTH) -> DataFrame:
+def nesting(json: Column) -> Column:
+    """How many objects and arrays lie inside each other at most: brackets outside quoted texts, counted as they open."""
+    plain = F.regexp_replace(json, r'"(?:[^"\\]|\\.)*+"', "")
+    turns = F.split(F.regexp_replace(plain, r"[^\[\]{}]", ""), "(?!^)")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(at: Column, mark: Column) -> Column:
+        now = at["now"] + F.when(mark.isin("{", "["), 1).when(mark.isin("}", "]"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+    return F.coalesce(F.aggregate(turns, start, step, lambda at: at["most"]), F.lit(0))
+
+
+def leaves(docs: DataFrame, col: str = "data") -> DataFrame:
     """Scalar leaves ``(doc_id, path, sort, key, value)``; ``sort`` gives depth-first order.
 
-    One narrow expression per level inside the row; nothing is shuffled.
+    One narrow expression per level inside the row; nothing is shuffled. A first pass over the texts finds how many
+    levels there are.
     """
+    depth = docs.agg(F.max(nesting(F.col(col)))).first()[0] or 0
     kind = "array<struct<path:string,sort:string,key:string,value:string>>"
     level = F.array(F.struct(F.lit("data").alias("path"), F.lit("").alias("sort"), F.lit(None).cast("string").alias("key"), F.col(col).alias("value")))
     rows = docs.withColumn("_open", level.cast(kind)).withColumn("_done", F.array().cast(kind))

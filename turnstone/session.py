@@ -18,6 +18,7 @@ def local_session(app: str = "turnstone", cpus: str | int = "*", shuffle: int =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.files.maxPartitionBytes", "8m")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))

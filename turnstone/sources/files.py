@@ -6,10 +6,5 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A parquet table. A table in fewer files than cores is spread, since one file may be one task.
-
-    Large tables have many files and are read as they lie; filters and columns still reach the scan.
-    """
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """A parquet table as it lies; how it is split is the session's choice (spark.sql.files.maxPartitionBytes)."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
