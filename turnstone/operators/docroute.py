@@ -75,21 +75,25 @@ def features(docs: DataFrame, text: str = "raw_text") -> DataFrame:
     dated = lambda s: s.rlike(DATE)
     amount = lambda s: s.rlike(AMOUNT)
     flow = lambda s: s.contains("debit") | s.contains("credit") | s.contains("solde")
-    lines = F.col("norm_lines")
-    count = lambda cond: F.size(F.filter(lines, cond))
+    # each pattern runs once over a line, and only over lines with a digit
+    digit = lambda s: s.rlike("[0-9]")
+    marks = F.transform(F.filter("norm_lines", digit), lambda s: F.struct(
+        dated(s).alias("dated"), amount(s).alias("amount"), flow(s).alias("flow"), s.alias("line")))
+    rows = rows.withColumn("marks", marks)
+    count = lambda cond: F.size(F.filter("marks", cond))
     rows = rows.withColumns({
-        "line_count": F.size(lines),
-        "date_line_count": count(dated),
-        "amount_line_count": count(amount),
-        "transaction_line_count": count(lambda s: dated(s) & (amount(s) | flow(s))),
-        "multi_amount_lines": count(lambda s: s.rlike(f"{AMOUNT}.*?{AMOUNT}")),
+        "line_count": F.size("norm_lines"),
+        "date_line_count": count(lambda m: m["dated"]),
+        "amount_line_count": count(lambda m: m["amount"]),
+        "transaction_line_count": count(lambda m: m["dated"] & (m["amount"] | m["flow"])),
+        "multi_amount_lines": count(lambda m: m["amount"] & m["line"].rlike(f"{AMOUNT}.*?{AMOUNT}")),
     })
     norm = F.col("norm")
     hits = {}
     for kind in DOC_TYPES:
-        hits[f"kw_{kind}"] = F.array(*[count_of(norm, word) for word in KEYWORDS[kind]])
+        hits[f"kw_{kind}"] = F.array(*[F.when(norm.contains(word), count_of(norm, word)).otherwise(F.lit(0)) for word in KEYWORDS[kind]])
         hits[f"rx_{kind}"] = F.array(*[F.regexp_count(norm, F.lit(p)) for p, _ in PATTERNS[kind]])
-    return rows.withColumns(hits).drop("norm", "norm_lines")
+    return rows.withColumns(hits).drop("norm", "norm_lines", "marks")
 
 
 def _sum(parts: list[Column]) -> Column:

@@ -174,6 +174,8 @@ def contained_names(texts: DataFrame, names: DataFrame, key: str, gram: int = 4)
     norm = F.col("norm")
     cut = lambda k: F.when(F.length(norm) >= k, F.transform(
         F.sequence(F.lit(1), F.length(norm) - k + 1), lambda i: F.substring(norm, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    probes = texts.select(key, "norm", F.explode(F.array_distinct(F.concat(*[cut(k) for k in range(1, gram + 1)]))).alias("piece"))
-    hits = probes.join(anchors, "piece").filter(F.contains("norm", "n"))
+    # pieces travel without their text; the texts of the hits are joined afterwards
+    probes = texts.select(key, F.explode(F.array_distinct(F.concat(*[cut(k) for k in range(1, gram + 1)]))).alias("piece"))
+    met = probes.join(anchors, "piece").select(key, "name", "n").distinct()
+    hits = met.join(texts.select(key, "norm"), key).filter(F.contains("norm", "n"))
     return hits.groupBy(key).agg(F.min_by("name", F.struct((-F.length("name")).alias("l"), "name")).alias("name"))
