@@ -293,7 +293,7 @@ def near_duplicates(
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """docs without the documents whose component bears another's id; all columns of docs stay.
 
-    Documents without an id stay only where no document of their component has one.
+    Rows without an id can't be named, so they all stay; rows that repeat the kept id stay together.
     """
     found = near_duplicates(docs, **settings)
     gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
