@@ -7,7 +7,7 @@ never removed and never make others go.
 
 Method
 ------
-1. Word counts, by 2^19 hash slots, give every word one of 126 rarity levels: a table of fixed size that travels as a
+1. Word counts, by 2^18 hash slots, give every word one of 126 rarity levels: a table of fixed size that travels as a
    constant. Each line's words are ordered by (level, hash), rarest first.
 2. Equal sets become one row with their first position.
 3. Of |x| words, two sets that are similar enough share one of the first |x| - ceil(s |x|) + 1 (prefix filter). Lines
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from turnstone.llm.common import slot_bytes, slot_level, stored
 
-SLOTS, MARK, MIN_WORDS = 1 << 19, 2, 3
+SLOTS, MARK, MIN_WORDS = 1 << 18, 2, 3
 #: Sets of more words carry 256 parity bits instead of 64.
 WIDE = 40
 #: Places for line numbers below the document in a position.
@@ -108,13 +108,15 @@ def _least_overlap(n_x: Column, n_y: Column, s: Fraction) -> Column:
     return F.floor(((n_x + n_y) * up + (down - 1)) / F.lit(down))
 
 
-def _possible(x: str, y: str, n: Column, m: Column, s: Fraction) -> Column:
+def _possible(x: str, y: str, n: Column, m: Column, s: Fraction, wide: bool = True) -> Column:
     """The length and parity filters between the columns of x and y, which are prefixes of their names."""
     sized = F.least(n, m) * s.denominator >= F.greatest(n, m) * s.numerator
     bits = lambda a, b: F.bit_count(a.bitwiseXOR(b))
-    one, two = F.col(f"{x}wide"), F.col(f"{y}wide")
-    wide = sum((bits(F.get(one, F.lit(k)), F.get(two, F.lit(k))) for k in range(4)), F.lit(0))
-    apart = F.when(one.isNotNull() & two.isNotNull(), wide).otherwise(bits(F.col(f"{x}parity"), F.col(f"{y}parity")))
+    apart = bits(F.col(f"{x}parity"), F.col(f"{y}parity"))
+    if wide:
+        one, two = F.col(f"{x}wide"), F.col(f"{y}wide")
+        four = sum((bits(F.get(one, F.lit(k)), F.get(two, F.lit(k))) for k in range(4)), F.lit(0))
+        apart = F.when(one.isNotNull() & two.isNotNull(), four).otherwise(apart)
     return sized & (apart <= n + m - 2 * _least_overlap(n, m, s))
 
 
@@ -167,15 +169,19 @@ def _prefix_pairs(sets: DataFrame, gone: DataFrame, s: Fraction) -> DataFrame:
     marked = sets.join(gone.select("line", F.lit(-1).alias("sign")), "line", "left")
     # smaller sets have no similar but equal ones
     rows = marked.where(F.col("n") * (s.denominator - s.numerator) >= s.numerator).select(
-        F.posexplode("prefix").alias("i", "word"), "line", (F.col("n") * F.coalesce("sign", F.lit(1))).alias("n"), "parity", "wide")
+        F.posexplode("prefix").alias("i", "word"), "line", (F.col("n") * F.coalesce("sign", F.lit(1))).alias("n"), "parity")
     x, y = rows.alias("x"), rows.alias("y")
     n_x, n_y = F.abs("x.n"), F.abs("y.n")
     met = x.join(y, F.col("x.word") == F.col("y.word")).where(
         (F.greatest("x.n", "y.n") > 0) & (F.col("x.line") < F.col("y.line"))
         & (F.least("x.i", "y.i") + F.least(n_x - F.col("x.i"), n_y - F.col("y.i")) >= _least_overlap(n_x, n_y, s))
-        & _possible("x.", "y.", n_x, n_y, s)
+        & _possible("x.", "y.", n_x, n_y, s, wide=False)
     )
-    return met.select(F.col("x.line").alias("line"), F.col("y.line").alias("other"))
+    pairs = stored(met.select(F.col("x.line").alias("line"), F.col("y.line").alias("other")).distinct(), "met")
+    # the wide bits of longer sets are looked up for the pairs that meet, instead of travelling with every word
+    more = sets.select("line", "n", "parity", "wide")
+    full = pairs.join(more, "line").join(more.toDF("other", "y_n", "y_parity", "y_wide"), "other")
+    return full.where(_possible("", "y_", F.col("n"), F.col("y_n"), s)).select("line", "other")
 
 
 def removals(docs: DataFrame, similarity: float = 0.8, min_words: int = MIN_WORDS) -> DataFrame:
