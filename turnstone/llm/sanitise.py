@@ -11,7 +11,7 @@ corpus, n(t) lines hold a term, n(e) an entity, n(t, e) both, of n lines. A term
 Disclosing terms become spans wherever they stand, also without the entity. In a sanitised text base spans become
 `[KIND]`, terms are removed from `remove` (0.9) on and generalised to `[TERM]` below.
 
-Counts are grouped sums with map-side parts; a table of 2^20 slots marks the terms that matter, so that other words of
+Counts are grouped sums with map-side parts; two tables of 2^19 slots mark the terms that matter, so that other words of
 the corpus make no rows. No text is shuffled.
 
 Rules: null and empty texts have no spans; a document is known by its id and the hash of its text, so that repeated and
@@ -37,7 +37,7 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried at all.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 ABOVE_255 = r"(?:^|\.)0*+(?:[1-9][0-9]{3,}|2(?:5[6-9]|[6-9][0-9])|[3-9][0-9]{2})(?:\.|$)"
-SLOTS, MARK = 1 << 20, 2
+SLOTS, MARK = 1 << 19, 2
 CHANCE, BITS, SUPPORT, REMOVE = 0.5, 6.0, 3, 0.9
 NOT_LETTERS = r"[^\p{L}]+"
 
@@ -114,12 +114,20 @@ def _terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(plain), NOT_LETTERS)), lambda w: F.length(w) >= 3)
 
 
-def _slot(term: Column) -> Column:
-    return F.xxhash64(term).bitwiseAND(F.lit(SLOTS - 1))
+def _slots(term: Column) -> tuple[Column, Column]:
+    """Two slots of a word, by independent bits of its hash."""
+    h = F.xxhash64(term)
+    return h.bitwiseAND(F.lit(SLOTS - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(SLOTS - 1))
 
 
-def _marks(terms: DataFrame) -> bytes:
-    return slot_bytes(terms.select(_slot(F.col("term")).alias("slot")).distinct().withColumn("level", F.lit(MARK)), SLOTS)
+def _marks(terms: DataFrame) -> tuple[bytes, ...]:
+    """One table per slot: a word that is none of the terms passes both rarely."""
+    return tuple(slot_bytes(terms.select(s.alias("slot")).distinct().withColumn("level", F.lit(MARK)), SLOTS) for s in _slots(F.col("term")))
+
+
+def _marked(marks: tuple[bytes, ...], term: Column) -> Column:
+    one, two = (slot_level(m, s) == MARK for m, s in zip(marks, _slots(term), strict=True))
+    return one & two
 
 
 def disclosing_terms(docs: DataFrame, with_spans: DataFrame, chance: float = CHANCE, bits: float = BITS, support: int = SUPPORT) -> DataFrame:
@@ -137,7 +145,7 @@ def disclosing_terms(docs: DataFrame, with_spans: DataFrame, chance: float = CHA
     both = stored(both, "both")
     marks = _marks(both.select("term").distinct())
     total = lines.count()
-    words = lines.select(F.explode(_terms(F.col("line"))).alias("term")).where(slot_level(marks, _slot(F.col("term"))) == MARK)
+    words = lines.select(F.explode(_terms(F.col("line"))).alias("term")).where(_marked(marks, F.col("term")))
     by_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     told = both.join(by_term, "term").join(by_entity, "entity").select(
         "term", (F.col("n_te") / F.col("n_t")).alias("chance"),
@@ -149,7 +157,7 @@ def _term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, text_hash, term_spans): all places of disclosing terms; one row per document that has some."""
     marks = _marks(terms)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.explode(_terms(F.col("text"))).alias("term"))
-    near = rows.where(slot_level(marks, _slot(F.col("term"))) == MARK)
+    near = rows.where(_marked(marks, F.col("term")))
     rx = F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.col("term"), F.lit(r"(?!\p{L})"))
     found = near.withColumn("matches", F.regexp_extract_all("text", rx, F.lit(0)))
     placed = found.select("doc_id", "text_hash", "term", _placed(F.call_function("split", F.col("text"), rx, F.lit(-1)), F.col("matches"), F.lit(4)).alias("own"))
