@@ -156,12 +156,14 @@ def disclosing_terms(docs: DataFrame, with_spans: DataFrame, chance: float = CHA
 def _term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, text_hash, term_spans): all places of disclosing terms; one row per document that has some."""
     marks = _marks(terms)
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.explode(_terms(F.col("text"))).alias("term"))
-    near = rows.where(_marked(marks, F.col("term")))
-    rx = F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.col("term"), F.lit(r"(?!\p{L})"))
+    own = F.filter(_terms(F.col("text")), lambda w: _marked(marks, w))
+    near = docs.select("doc_id", "text", own.alias("own")).where(F.size("own") > 0)
+    # one pass over a text for all its marked words
+    rx = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("own", "|"), F.lit(r")(?!\p{L})"))
     found = near.withColumn("matches", F.regexp_extract_all("text", rx, F.lit(0)))
-    placed = found.select("doc_id", "text_hash", "term", _placed(F.call_function("split", F.col("text"), rx, F.lit(-1)), F.col("matches"), F.lit(4)).alias("own"))
-    sure = placed.join(terms, "term").select("doc_id", "text_hash", F.explode("own").alias("span"), "chance").distinct()
+    gaps = F.call_function("split", F.col("text"), rx, F.lit(-1))
+    placed = found.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(_placed(gaps, F.col("matches"), F.lit(4))).alias("span"))
+    sure = placed.withColumn("term", F.lower("span.found")).join(terms, "term").select("doc_id", "text_hash", "span", "chance").distinct()
     return sure.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("span", "chance")).alias("term_spans"))
 
 
