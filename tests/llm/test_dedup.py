@@ -133,6 +133,17 @@ def test_line_dedup(spark, edge_docs, edge_texts, no_docs):
     assert dedup_lines(no_docs, count="n_gone").count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    texts = [(1, "Les.\none two\na b c"), (2, "les.\ntwo one two\na b c d"), (3, "\n \nLes.\nla la la la\nc b a"), (4, "\n \nla\none"), (None, "one")]
+    given = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    for rows in (texts, given):
+        got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), count="n_gone").collect()
+        removed = brute_lines(rows, least=1)
+        assert {r.doc_id: (r.text, r.n_gone) for r in got} == {
+            d: ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in removed[d]), len(removed[d])) for d, t in rows}
+    assert brute_lines(texts, least=1)[2] == {0, 1} and brute_lines(texts, least=1)[4] == {2, 3}
+
+
 def test_line_dedup_plan_is_native(spark, edge_docs):
     plan = dedup_lines(edge_docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

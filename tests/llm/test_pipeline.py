@@ -38,6 +38,12 @@ def test_line_stage(staged):
     assert {r.doc_id: r.text for r in after} == want and all(r.n_chars == len(r.text) for r in after)
 
 
+def test_line_stage_of_short_lines(spark):
+    rows = [(1, "Les.\none two", 12), (2, "les.\n\ntwo one two", 18)]
+    after = corpus_pipeline.drop_repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars int"), SF).collect()
+    assert {(r.doc_id, r.text, r.n_chars) for r in after} == {(1, "Les.\none two", 12), (2, "", 0)}
+
+
 def test_near_stage(staged):
     before, after = staged["near_dedup"]
     roots, _ = brute_near([(r.doc_id, r.text) for r in before], 5)

@@ -2,8 +2,8 @@
 
 A line's set holds its distinct lower-cased words between ASCII white space. A line is
 removed if an earlier line, by (doc_id, line number), has a Jaccard similarity of `similarity` (0.8) or more, whether
-or not that line was removed itself; of equal sets the first stays. Lines of fewer than `min_words` distinct words are
-never removed and never make others go.
+or not that line was removed itself; of equal sets the first stays. Lines without words stay; callers may raise
+`min_words` to spare short lines too.
 
 Method
 ------
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from turnstone.llm.common import slot_bytes, slot_level, stored
 
-SLOTS, MARK, MIN_WORDS = 1 << 18, 2, 3
+SLOTS, MARK, MIN_WORDS = 1 << 18, 2, 1
 #: Sets of more words carry 256 parity bits instead of 64.
 WIDE = 40
 #: Places for line numbers below the document in a position.
@@ -108,6 +108,11 @@ def _least_overlap(n_x: Column, n_y: Column, s: Fraction) -> Column:
     return F.floor(((n_x + n_y) * up + (down - 1)) / F.lit(down))
 
 
+def _has_unequal(s: Fraction) -> Column:
+    """Smaller sets have no similar but equal ones, which the classes settle."""
+    return F.col("n") * (s.denominator - s.numerator) >= s.numerator
+
+
 def _possible(x: str, y: str, n: Column, m: Column, s: Fraction, wide: bool = True) -> Column:
     """The length and parity filters between the columns of x and y, which are prefixes of their names."""
     sized = F.least(n, m) * s.denominator >= F.greatest(n, m) * s.numerator
@@ -152,7 +157,7 @@ def _marks(slots: DataFrame) -> bytes:
 def _neighbours(sets: DataFrame, s: Fraction) -> DataFrame:
     """Pairs of each line with the first and the previous line of its two groups."""
     key = F.explode(F.array("lowest", "highest")).alias("key")
-    rows = sets.select(key, "line", "n", "parity", "wide")
+    rows = sets.where(_has_unequal(s)).select(key, "line", "n", "parity", "wide")
     order = Window.partitionBy("key").orderBy("line")
     me = F.struct("line", "n", "parity", "wide")
     met = rows.select("line", "n", "parity", "wide", F.array(F.first(me).over(order), F.lag(me).over(order)).alias("met"))
@@ -167,8 +172,7 @@ def _prefix_pairs(sets: DataFrame, gone: DataFrame, s: Fraction) -> DataFrame:
     Lines that are gone carry a negative n; both sides of the join read the same shuffle.
     """
     marked = sets.join(gone.select("line", F.lit(-1).alias("sign")), "line", "left")
-    # smaller sets have no similar but equal ones
-    rows = marked.where(F.col("n") * (s.denominator - s.numerator) >= s.numerator).select(
+    rows = marked.where(_has_unequal(s)).select(
         F.posexplode("prefix").alias("i", "word"), "line", (F.col("n") * F.coalesce("sign", F.lit(1))).alias("n"), "parity")
     x, y = rows.alias("x"), rows.alias("y")
     n_x, n_y = F.abs("x.n"), F.abs("y.n")
