@@ -101,6 +101,31 @@ def test_manual_open_twice(spark):
     assert (row.entry_time, row.exit_time, row.manual_opened, row.manual_exit_opened) == (at("09:05"), at("09:30"), True, True)
 
 
+def test_manual_open_of_several_logs(spark):
+    rnd = random.Random(8)
+    rows, cmds = [], []
+    for g in range(60):
+        letters = "AB" if g % 2 else "A"
+        for _ in range(rnd.randint(1, 5)):
+            rows.append((f"{10000 + g}-{rnd.choice(letters)}-7", T0 + timedelta(hours=rnd.randint(0, 60)), None, "UNKNOWN"))
+        for _ in range(rnd.randint(0, 12)):
+            cmds.append((f"{10000 + g}-{rnd.choice(letters)}-7", T0 + timedelta(hours=rnd.randint(0, 60) + (g % 3) * 40)))
+    rows += [("5-A-5", T0, None, "UNKNOWN"), ("5-A-5", T0 + timedelta(hours=1), None, "UNKNOWN")]
+    cmds += [("5-A-5", T0 + timedelta(hours=9))] * 3  # equal times are commands of their own
+    logs = _logs(spark, rows).withColumn("manual_opened", F.col("id") % 5 == 0)
+    state = {i: [p, e, None, i % 5 == 0, False] for i, (p, e, *_) in enumerate(rows)}
+    for plate, t in sorted(cmds, key=lambda c: c[1]):
+        a, _, b = plate.split("-")
+        match = [(v[1], i) for i, v in state.items() if v[2] is None and v[0].split("-")[::2] == [a, b]]
+        if match:
+            v = state[max(match)[1]]
+            v[1:] = [v[1], t, True, True] if v[3] else [t, None, True, True]
+    want = {i: (v[1], v[2]) for i, v in state.items() if v[4]}
+    got = presence.manual_open(logs, spark.createDataFrame(cmds, "plate_number string, opened_at timestamp_ntz")).collect()
+    assert {r.id: (r.entry_time, r.exit_time) for r in got} == want and len(got) == len(want) > 60
+    assert all(r.manual_exit_opened == (r.exit_time is not None) for r in got)
+
+
 def test_week_report(spark):
     people = [(1, "Ann", "12345-A-9", "Finance"), (2, "Bob", "56789-B-2", "IT"), (3, "Cid", "24680-C-7", "HR")]
     emp = spark.createDataFrame([(*p, f"E{p[0]}", True) for p in people],

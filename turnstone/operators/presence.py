@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnstone import constants as K
 from turnstone.functions.plates import display_plate, loose_key, normalize_plate, plate_query_key
 from turnstone.operators.joins import active_directory, known_plates, match_plates, merge_scalars
 from turnstone.operators.reports import PresenceRules, in_period, is_late
 from turnstone.operators.sessions import latest_open
-from turnstone.operators.slots import seconds_between
+from turnstone.operators.slots import seconds_between, slot_of
 from turnstone.session import materialize
 
 
@@ -111,41 +111,59 @@ def close_sessions(logs: DataFrame, commands: DataFrame) -> DataFrame:
     )
 
 
+def _by_number(commands: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, j, at): the first commands of each key, numbered by time from 1; `wanted` says how many (key, most)."""
+    rows = commands.withColumn("slot", slot_of(F.col("at")))
+    earlier = Window.partitionBy("key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("key", "slot").count().select("key", "slot", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("start"))
+    useful = starts.join(wanted, "key").filter("start < most")
+    number = F.col("start") + F.row_number().over(Window.partitionBy("key", "slot").orderBy("at"))
+    return rows.join(useful, ["key", "slot"]).select("key", number.alias("j"), "at", "most").filter("j <= most").drop("most")
+
+
 def manual_open(logs: DataFrame, commands: DataFrame) -> DataFrame:
     """Manual gate commands ``(plate_number, opened_at)`` on open restricted logs.
 
-    A command finds the newest open restricted log whose plate equals its own exactly, normalised
-    or loosely. The first command of a log sets its entry, the second its exit.
-    """
-    pending = logs.filter(F.col("exit_time").isNull() & F.col("status").isin(*K.RESTRICTED))
-
-    def keys(df: DataFrame, *carry: str) -> DataFrame:
-        return df.select(*carry, F.explode(F.array_distinct(F.array(
-            F.concat(F.lit("e"), "plate_number"),
-            F.concat(F.lit("n"), normalize_plate(F.col("plate_number"))),
-            F.concat(F.lit("l"), loose_key(F.col("plate_number"))),
-        ))).alias("key"))
+    A command, in order of time, finds the newest open restricted log whose plate equals its own exactly, normalised
+    or loosely. The first command of a log sets its entry, which is then the log's time, the second its exit; later
+    ones go to the next open log.
 
-    newest = keys(pending, "plate_number", "entry_time", "id").groupBy("key").agg(
-        F.max(F.struct("entry_time", "id")).alias("log")
-    )
-    plates = commands.select("plate_number").distinct()
-    target = keys(plates, "plate_number").join(newest, "key").groupBy("plate_number").agg(
-        F.max("log").getField("id").alias("id")
-    )
-    # Two earliest commands per log are all that can act; min and second min combine on map sides.
-    hits = commands.join(target, "plate_number")
-    first = hits.groupBy("id").agg(F.min("opened_at").alias("first_at"))
-    second = hits.join(first, "id").filter("opened_at > first_at").groupBy("id").agg(
-        F.min("opened_at").alias("second_at")
-    )
-    acts = first.join(second, "id", "left")
-    return pending.join(acts, "id").select(
-        "id", "plate_number", "status",
-        F.when(F.col("manual_opened"), F.col("entry_time")).otherwise(F.col("first_at")).alias("entry_time"),
-        F.when(F.col("manual_opened"), F.col("first_at")).otherwise(F.col("second_at")).alias("exit_time"),
-        F.lit(True).alias("manual_opened"),
-        (F.col("manual_opened") | F.col("second_at").isNotNull()).alias("manual_exit_opened"),
+    Equal plates have equal loose keys, so a key is a group of its own. Its k-th newest log takes command k as long as
+    no log opened before is newer than the next one. From then on whatever is opened is the newest and closed next, so
+    that the rest, opened logs (one command) and others (two), follow newest first: running sums give the numbers.
+    """
+    def key(df: DataFrame) -> DataFrame:
+        plate = F.coalesce("plate_number", F.lit(""))
+        loose = loose_key(plate)
+        return df.withColumn("key", F.when(loose != "", F.concat(F.lit("l"), loose)).otherwise(F.concat(F.lit("e"), plate)))
+
+    pending = key(logs.filter(F.col("exit_time").isNull() & F.col("status").isin(*K.RESTRICTED)))
+    newest = Window.partitionBy("key").orderBy(F.desc("entry_time"), F.desc("id"))
+    numbered = pending.select("key", "id", "entry_time", F.coalesce("manual_opened", F.lit(False)).alias("was"),
+                              F.row_number().over(newest).alias("k"))
+    asked = key(commands.filter("plate_number is not null and opened_at is not null")).select(
+        "key", F.col("opened_at").cast(logs.schema["entry_time"].dataType).alias("at"))
+    times = materialize(_by_number(asked, numbered.groupBy("key").agg((2 * F.count("*")).alias("most"))), "commands")
+
+    met = numbered.join(times.withColumnRenamed("j", "k"), ["key", "k"], "left")
+    opened = F.when(~F.col("was") & F.col("at").isNotNull(), F.struct("at", "id"))
+    still = F.struct(F.col("entry_time").alias("at"), "id")
+    turn = F.when(F.lead(still).over(newest).isNull() | (F.max(opened).over(newest) > F.lead(still).over(newest)), F.col("k"))
+    first = F.col("k") <= F.col("m")
+    rest = met.withColumn("turn", turn).withColumn("m", F.min("turn").over(Window.partitionBy("key"))).withColumn(
+        "rank", F.when(first, opened).otherwise(still)).withColumn(
+        "cost", F.when(first, (~F.col("was")).cast("int")).otherwise(2 - F.col("was").cast("int")))
+    order = Window.partitionBy("key").orderBy(F.desc_nulls_last("rank"), F.col("k")).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.col("m") + F.sum("cost").over(order)
+    placed = rest.select(
+        "key", "id", F.when(~F.col("was"), F.when(first, F.col("k")).otherwise(last - 1)).alias("one"),
+        F.when(first & F.col("was"), F.col("k")).otherwise(last).alias("two"))
+    acts = placed.join(times.toDF("key", "one", "first_at"), ["key", "one"], "left").join(
+        times.toDF("key", "two", "second_at"), ["key", "two"], "left").filter("first_at is not null or second_at is not null")
+    return pending.join(acts.select("id", "first_at", "second_at"), "id").select(
+        "id", "plate_number", "status", F.coalesce("first_at", "entry_time").alias("entry_time"),
+        F.col("second_at").alias("exit_time"), F.lit(True).alias("manual_opened"),
+        F.col("second_at").isNotNull().alias("manual_exit_opened"),
     )
 
 
