@@ -88,6 +88,14 @@ def test_keep_one_and_empty(spark, edge_docs, no_docs):
     assert near_duplicates(no_docs).count() == 0 and keep_one(no_docs).count() == 0
 
 
+def test_keep_one_of_repeated_and_unnamed_rows(spark):
+    a, b, c = "one two three four five six seven", "red green blue black white", "north south east west up down"
+    rows = [(7, a), (7, a), (9, a + " "), (None, a), (None, b), (None, b), (None, c), (3, c.upper()), (None, None), (None, ""), (5, " ")]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(7, a), (None, b), (3, c.upper()), (None, None), (None, ""), (5, " ")]
+    assert sorted(repr((r.doc_id, r.text)) for r in kept) == sorted(map(repr, want))
+
+
 def test_components(spark):
     draw = random.Random(1)
     edges = [(draw.randint(0, 300), draw.randint(0, 300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(60)]

@@ -42,7 +42,7 @@ SLACK = 0.125
 PIECE = 4096
 #: Minima of the signatures for the exact rest: four standard deviations are 0.06. Rows per side of a cell.
 LONG, LONG_SLACK, CELL = 720, 0.06, 2048
-SKETCH = "doc_id long, class_high long, class_low long, n_shingles long, bands array<long>, signature binary"
+SKETCH = "row long, doc_id long, class_high long, class_low long, n_shingles long, bands array<long>, signature binary"
 
 
 def _family(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,9 +80,9 @@ def _sketches(width: int, bands: int, rows: int):
                 keys.append([xxhash.xxh3_64_intdigest(table[k].tobytes(), seed=k) - (1 << 63) for k in range(bands)])
                 signatures.append((least & np.uint32(255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(sizes, pa.int64()),
+                [batch.column("row"), ids, pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(sizes, pa.int64()),
                  pa.array(keys, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
-                names=["doc_id", "class_high", "class_low", "n_shingles", "bands", "signature"],
+                names=["row", "doc_id", "class_high", "class_low", "n_shingles", "bands", "signature"],
             )
 
     return run
@@ -120,8 +120,10 @@ class _Search:
 
     def __init__(self, docs: DataFrame, width: int, similarity: float, bands: int, rows: int):
         self.least, self.width = Fraction(similarity).limit_denominator(1000), width
-        self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.sketches = stored(self.texts.mapInArrow(_sketches(width, bands, rows), SKETCH), "sketches")
+        read = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+        self.texts = docs.select(*read)
+        row = (F.col("_row") if "_row" in docs.columns else F.lit(None)).cast("long").alias("row")
+        self.sketches = stored(docs.select(row, *read).mapInArrow(_sketches(width, bands, rows), SKETCH), "sketches")
         whole = self.sketches.where("n_shingles > 0")
         by_class = whole.groupBy("class_high", "class_low").agg(F.min("doc_id").alias("first"))
         named = F.coalesce("first", -1 - F.abs(F.shiftright("class_high", 1)))
@@ -254,14 +256,8 @@ def _rest(run: _Search, crowds: DataFrame, found: DataFrame) -> DataFrame:
     return spread.mapInArrow(_met_in_cells(run.least), "a long, b long").distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS
-) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, n_shingles, component_id, kept), one row per row of docs.
-
-    component_id is the smallest id of the component, kept says that a row bears it.
-    """
-    run = _Search(docs, width, similarity, bands, rows)
+def _grouped(run: _Search) -> DataFrame:
+    """(class_high, class_low, first, component) of all classes with words."""
     crowds = run.crowds()
     run.keep_texts(crowds)
     ends = crowds.select(F.col("low").alias("a"), F.col("node").alias("b")).unionByName(
@@ -276,9 +272,20 @@ def near_duplicates(
     left = _rest(run, crowds, components(links)).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     third = run.verified(left, "links")
     found = components(links.unionByName(third)).toDF("node", "component")
-    named = run.classes.join(found, "node", "left").select(
+    return run.classes.join(found, "node", "left").select(
         "class_high", "class_low", "first", F.coalesce("component", "node").alias("component")
     )
+
+
+def near_duplicates(
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, n_shingles, component_id, kept), one row per row of docs.
+
+    component_id is the smallest id of the component, kept says that a row bears it.
+    """
+    run = _Search(docs.select("doc_id", "text"), width, similarity, bands, rows)
+    named = _grouped(run)
     names = named.groupBy("component").agg(F.min("first").alias("component_id"))
     by_class = named.join(names, "component").select("class_high", "class_low", "component_id")
     lone = run.sketches.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -290,11 +297,18 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """docs without the documents whose component bears another's id; all columns of docs stay.
+def keep_one(
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """One row of each component, with all columns of docs: that of the smallest id, rows without an id last.
 
-    Rows without an id can't be named, so they all stay; rows that repeat the kept id stay together.
+    Of rows that repeat an id, or have none, the first stored one stays. Rows without words all stay.
     """
-    found = near_duplicates(docs, **settings)
-    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    run = _Search(numbered.select("_row", "doc_id", "text"), width, similarity, bands, rows)
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("one")
+    heads = run.sketches.where("n_shingles > 0").groupBy("class_high", "class_low").agg(one)
+    kept = heads.join(_grouped(run), ["class_high", "class_low"]).groupBy("component").agg(F.min("one").alias("one"))
+    stay = kept.select(F.col("one.row").alias("_row")).unionByName(
+        run.sketches.where("n_shingles = 0").select(F.col("row").alias("_row")))
+    return numbered.join(stay, "_row", "left_semi").select(docs.columns)
