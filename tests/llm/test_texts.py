@@ -228,6 +228,21 @@ def test_reshard(spark, edge_docs, no_docs, tmp_path):
     assert back.count() == 501 and back.where("text = 'new'").select("shard").distinct().collect()[0].shard == 1
 
 
+def test_reshard_of_rows_without_an_old_shard(spark, tmp_path):
+    given = [(k, "x" * (k % 37), (0, 1, 2, None, 7, -1)[k % 6]) for k in range(300)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, old int")
+    moved = reshard(docs, F.col("old"), 3, 5, carried=("text", "old"))
+    rows = moved.collect()
+    assert {(r.doc_id, r.text, r.old_shard) for r in rows} == set(given) and len(rows) == 300
+    sizes = Counter()
+    for r in rows:
+        sizes[r.shard] += r.size
+    assert max(sizes.values()) - min(sizes.values()) <= 4 * 37
+    path = str(tmp_path / "shards")
+    rewrite(moved, path, [0, 1, 2, 3, 4])
+    assert {(r.doc_id, r.text, r.shard) for r in spark.read.parquet(path).collect()} == {(r.doc_id, r.text, r.shard) for r in rows}
+
+
 # quality
 
 

@@ -6,8 +6,8 @@ byte ranges of each old shard. Its rows, in a fixed order, fall into these range
 first, then inside each block, so that a shard with a third of all rows is many small windows. A row goes where its
 middle byte lies, so every new shard is within one row per transfer of its capacity.
 
-Rules: a null text has no bytes; each row counts one byte more. A null shard key is one more old shard's key like any
-other value. Equal rows are rows of their own. An empty table gives an empty result.
+Rules: a null text has no bytes; each row counts one byte more. Null shard keys and those outside the old
+shards are together one more old shard, all of whose bytes move; rows keep their own key. Equal rows are rows of their own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -75,38 +75,44 @@ def transfers(flow: list[list[int]]) -> list[tuple[int, int, int, int]]:
     return found
 
 
-def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int, demand: list[int] | None = None) -> DataFrame:
+def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int, demand: list[int] | None = None,
+            carried: tuple[str, ...] = ()) -> DataFrame:
     """docs (doc_id, text) with an old shard number each -> doc_id, size, text_crc32, old_shard, shard, slot.
 
     slot numbers the rows of a new shard from 0 without gaps. demand gives the new capacities, near-equal otherwise.
+    carried names more columns of docs for the result, as rewrite() needs the text.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    more = [F.struct(*carried).alias("carried")] if carried else []
     rows = stored(docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        old_shard.cast("int").alias("old_shard"), F.monotonically_increasing_id().alias("row")), "rows")
-    known = {r.old_shard: (r.bytes, r.n) for r in rows.groupBy("old_shard").agg(
+        old_shard.cast("int").alias("old_shard"), F.monotonically_increasing_id().alias("row"), *more), "rows")
+    inner = F.col("old_shard").between(0, old_shards - 1)
+    rows = rows.withColumn("lane", F.when(inner, F.col("old_shard")).otherwise(old_shards))
+    known = {r.lane: (r.bytes, r.n) for r in rows.groupBy("lane").agg(
         F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()}  # one row per old shard
-    supply = [known.get(k, (0, 0))[0] for k in range(old_shards)]
-    flow = min_cost_flow(supply, demand or capacities(sum(supply), new_shards))
+    supply = [known.get(k, (0, 0))[0] for k in range(old_shards + 1)]
+    cost = [[int(i != j or i == old_shards) for j in range(new_shards)] for i in range(old_shards + 1)]
+    flow = min_cost_flow(supply, demand or capacities(sum(supply), new_shards), cost)
     cuts = rows.sparkSession.createDataFrame(transfers(flow) or [(0, 0, 0, 0)], "cut_old int, shard int, low long, high long")
     blocks = max(1, sum(n for _, n in known.values()) // BLOCK_ROWS)
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
-    by_block = blocked.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"))
-    before = Window.partitionBy("old_shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = by_block.select("old_shard", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("old_shard", "block").orderBy("row")
-    placed = blocked.join(base, ["old_shard", "block"]).withColumn(
+    by_block = blocked.groupBy("lane", "block").agg(F.sum("size").alias("bytes"))
+    before = Window.partitionBy("lane").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = by_block.select("lane", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("lane", "block").orderBy("row")
+    placed = blocked.join(base, ["lane", "block"]).withColumn(
         "middle", F.col("base") + F.sum("size").over(inside) - F.ceil(F.col("size") / 2))
     # at most one row per pair of an old and a new shard
-    there = placed.join(F.broadcast(cuts), (F.col("old_shard") == F.col("cut_old")) & (F.col("middle") >= F.col("low"))
+    there = placed.join(F.broadcast(cuts), (F.col("lane") == F.col("cut_old")) & (F.col("middle") >= F.col("low"))
                         & (F.col("middle") < F.col("high")))
-    there = stored(there.select("doc_id", "size", "text_crc32", "old_shard", "shard", "block", "row"), "placed")
-    counts = there.groupBy("shard", "old_shard", "block").count()
-    ahead = Window.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "old_shard", "block", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("start"))
-    own = Window.partitionBy("shard", "old_shard", "block").orderBy("row")
-    return there.join(starts, ["shard", "old_shard", "block"]).select(
-        "doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("start") + F.row_number().over(own) - 1).alias("slot"))
+    there = stored(there.select("doc_id", "size", "text_crc32", "old_shard", "lane", "shard", "block", "row", *(["carried"] if carried else [])), "placed")
+    counts = there.groupBy("shard", "lane", "block").count()
+    ahead = Window.partitionBy("shard").orderBy("lane", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "lane", "block", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("start"))
+    own = Window.partitionBy("shard", "lane", "block").orderBy("row")
+    return there.join(starts, ["shard", "lane", "block"]).select(
+        "doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("start") + F.row_number().over(own) - 1).alias("slot"), *(["carried.*"] if carried else []))
 
 
 def rewrite(docs: DataFrame, path: str, affected: list[int]) -> None:
