@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import language_model, licenses, packing, quality, sanitise
+from turnstone.llm import code_oracle, html_text, language_model, licenses, packing, quality, sanitise, vector_codes
 from turnstone.llm.common import bucket, stored, table
 from turnstone.llm.decontaminate import leaks
 from turnstone.llm.embedding_dedup import near_vectors
 from turnstone.llm.line_dedup import dedup_lines
 from turnstone.llm.near_dedup import near_duplicates
 from turnstone.llm.resharding import reshard
+from turnstone.llm.whitening import whiten
 
 
 def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,6 +76,19 @@ def op10_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), width=4, similarity=0.8)
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded = vector_codes.with_label_errors(vector_codes.compress(table(spark, folder, "embeddings")))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline  # it imports the operators, as this module does
 
@@ -92,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_line_dedup": op9_line_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_html_text": op13_html_text,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_vector_codes": code_oracle.SQL}
