@@ -57,3 +57,29 @@ def add_chains(
         .withColumn("chain_start", F.coalesce("_start", "_head"))
         .drop("slot", "_prev", "_start", "_head")
     )
+
+
+DAY_MICROS = DAY_SECONDS * 1_000_000
+
+
+def add_slots(df: DataFrame, key: str, ts: str, most: int = 4096, name: str = "slot") -> DataFrame:
+    """Adds a slot (its start in microseconds) to each row: a day, or a binary part of it where a key's day holds more.
+
+    The widths come from counts, so that a hot key is cut finely and all others keep one slot a day. Equal times share a
+    slot whatever their number.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.withColumn("_at", micros).withColumn("_day", F.expr(f"_at - pmod(_at, {DAY_MICROS}L)"))
+    cuts = cuts_of(rows, key, "_day", most)
+    return rows.join(cuts, [key, "_day"], "left").withColumn(name, slot_start("_at", "_day", "_cuts")).drop("_at", "_day", "_cuts")
+
+
+def cuts_of(rows: DataFrame, key: str, day: str, most: int) -> DataFrame:
+    """(key, day, _cuts): into how many halves of halves the heavy days of a key are cut; other days have no row."""
+    heavy = rows.groupBy(key, day).agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
+    return heavy.select(key, day, F.least(F.ceil(F.log2(F.col("_n") / F.lit(most))), F.lit(24)).cast("int").alias("_cuts"))
+
+
+def slot_start(at: str, day: str, cuts: str) -> Column:
+    width = f"({DAY_MICROS}L div shiftleft(1L, coalesce({cuts}, 0)))"
+    return F.expr(f"{day} + ({at} - {day}) div {width} * {width}")
