@@ -76,21 +76,21 @@ def test_dedup_and_chain_fixture(spark):
     assert chains == {"D1": 3, "D2": 2}
 
 
-@pytest.mark.parametrize("array_rows", [1, 2000])
-def test_dedup_equals_model_on_both_paths(spark, array_rows):
-    rnd = random.Random(5)
-    rows = [(p, T0 + timedelta(seconds=rnd.randint(0, span)), None, "AUTHORIZED")
-            for p, n, span in (("HOT", 500, 20000), ("A", 40, 20000), ("B", 3, 900)) for _ in range(n)]
+@pytest.mark.parametrize("rows_per_slot", [1, 7, 4096])
+def test_dedup_equals_model_at_all_widths(spark, rows_per_slot):
+    rnd = random.Random(rows_per_slot)
+    rows = [(p, T0 + timedelta(seconds=20 * rnd.randint(0, span // 20)), None, "AUTHORIZED")
+            for p, n, span in (("HOT", 500, 20000), ("A", 40, 20000), ("B", 3, 900), ("DAYS", 60, 400_000)) for _ in range(n)]
     logs = _logs(spark, rows)
     want = set()
-    for plate in ("HOT", "A", "B"):
+    for plate in ("HOT", "A", "B", "DAYS"):
         kept = None
         for i, ts in sorted(((i, r[1]) for i, r in enumerate(rows) if r[0] == plate), key=lambda x: (x[1], x[0])):
             if kept is not None and ts - kept <= timedelta(minutes=5):
                 want.add(i)
             else:
                 kept = ts
-    got = {r.id for r in duplicate_ids(logs, 5, width_seconds=1800, array_rows=array_rows).collect()}
+    got = {r.id for r in duplicate_ids(logs, 5, rows_per_slot=rows_per_slot).collect()}
     assert got == want
 
 
