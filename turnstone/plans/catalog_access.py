@@ -43,7 +43,7 @@ access("src_vehicles", "SELECT * FROM vehicles WHERE status = 'AUTHORIZED'")(
     lambda t: t.vehicles.filter(F.col("status") == K.AUTHORIZED))
 access("src_employees", "SELECT * FROM employees WHERE is_active")(lambda t: t.employees.filter("is_active"))
 access("src_logs_range", f"SELECT * FROM logs WHERE entry_time >= {D} AND entry_time < DATE '2024-01-18'")(
-    lambda t: t.logs.filter(in_period(F.col("entry_time"), DAY, date(2024, 1, 17))).orderBy("entry_time", "id"))
+    lambda t: t.logs_between(DAY, date(2024, 1, 17)).orderBy("entry_time", "id"))
 access("src_unknown_range", f"SELECT * FROM unknown_detections WHERE detected_at >= {D} AND detected_at < DATE '2024-01-22'")(
     lambda t: t.unknown.filter(in_period(F.col("detected_at"), DAY, date(2024, 1, 21))).orderBy("detected_at", "id"))
 access("src_logs_recent", "SELECT * FROM logs WHERE status = 'AUTHORIZED' ORDER BY entry_time DESC, id LIMIT 50")(
@@ -53,18 +53,18 @@ access("src_access_logs", "SELECT * FROM access_logs")(lambda t: t.access_logs)
 # -- filters -----------------------------------------------------------------------------------------
 COLS = ("id", "plate_number", "entry_time", "status")
 SEL = "SELECT id, plate_number, entry_time, status FROM logs WHERE "
-for _key, _where, _cond in [
-    ("flt_on_date", f"entry_time::DATE = {D}", lambda: Q.on_day("entry_time", DAY)),
-    ("flt_date_range", f"entry_time::DATE BETWEEN {D} AND DATE '2024-01-17'",
+for _key, _where, _days, _cond in [
+    ("flt_on_date", f"entry_time::DATE = {D}", (DAY, DAY), lambda: Q.on_day("entry_time", DAY)),
+    ("flt_date_range", f"entry_time::DATE BETWEEN {D} AND DATE '2024-01-17'", (DAY, date(2024, 1, 17)),
      lambda: Q.between_days("entry_time", DAY, date(2024, 1, 17))),
-    ("flt_time_between", "entry_time::TIME BETWEEN TIME '08:00:00' AND TIME '09:30:00'",
+    ("flt_time_between", "entry_time::TIME BETWEEN TIME '08:00:00' AND TIME '09:30:00'", (None, None),
      lambda: Q.second_of_day(F.col("entry_time")).between(Q.seconds("08:00:00"), Q.seconds("09:30:00"))),
-    ("flt_after_cutoff", "entry_time::TIME > TIME '09:15:00'",
+    ("flt_after_cutoff", "entry_time::TIME > TIME '09:15:00'", (None, None),
      lambda: Q.second_of_day(F.col("entry_time")) > K.LATE_CUTOFF_MINUTES * 60),
-    ("flt_status_in", "status IN ('BLACKLISTED', 'DENIED')", lambda: F.col("status").isin(K.BLACKLISTED, K.DENIED)),
-    ("flt_open", "exit_time IS NULL", lambda: F.col("exit_time").isNull()),
+    ("flt_status_in", "status IN ('BLACKLISTED', 'DENIED')", (None, None), lambda: F.col("status").isin(K.BLACKLISTED, K.DENIED)),
+    ("flt_open", "exit_time IS NULL", (None, None), lambda: F.col("exit_time").isNull()),
 ]:
-    access(_key, SEL + _where)(lambda t, c=_cond: t.logs.filter(c()).select(*COLS))
+    access(_key, SEL + _where)(lambda t, c=_cond, d=_days: t.logs_between(*d).filter(c()).select(*COLS))
 
 # Equality to the second needs whole-second times: order dates at midnight have them.
 query("flt_time_equals", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate::TIME = TIME '00:00:00'")(
@@ -84,7 +84,7 @@ access("jn_log_employee_inner", "SELECT p.id, p.plate_number, e.full_name, e.dep
     lambda t: t.logs.join(t.employees.drop("id"), "plate_number").select("id", "plate_number", "full_name", "department"))
 access("jn_absent_anti", f"""SELECT full_name, department, plate_number FROM employees e WHERE is_active AND NOT EXISTS (
   SELECT 1 FROM logs p WHERE p.plate_number = e.plate_number AND p.entry_time::DATE = {D})""")(
-    lambda t: Q.absent_on(t.logs, t.employees, DAY))
+    lambda t: Q.absent_on(t.logs_between(DAY, DAY), t.employees, DAY))
 access("jn_latest_self", """SELECT l.* FROM access_logs l JOIN (SELECT plate_number, max(access_time) AS m FROM access_logs GROUP BY 1) x
   ON x.plate_number = l.plate_number AND x.m = l.access_time""")(
     lambda t: J.latest_rows(t.access_logs, "plate_number", "access_time"))
@@ -129,11 +129,11 @@ def _tiered(t: AccessTables):
 
 # -- aggregates --------------------------------------------------------------------------------------
 access("agg_denied_count", f"SELECT count(*) AS denied_count FROM logs WHERE entry_time::DATE = {D} AND status IN ('BLACKLISTED','DENIED')")(
-    lambda t: Q.denied_count(t.logs, DAY))
+    lambda t: Q.denied_count(t.logs_between(DAY, DAY), DAY))
 MOST = """SELECT plate_number, count(*) AS detections FROM logs WHERE entry_time::DATE BETWEEN {a} AND {b}
   GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"""
 access("agg_most_detected", MOST.format(a="DATE '2024-01-01'", b="DATE '2024-01-31'"))(
-    lambda t: Q.most_detected(t.logs, date(2024, 1, 1), date(2024, 1, 31)))
+    lambda t: Q.most_detected(t.logs_between(date(2024, 1, 1), date(2024, 1, 31)), date(2024, 1, 1), date(2024, 1, 31)))
 TOP = """SELECT p.plate_number, round(sum(epoch_us(coalesce(exit_time, TIMESTAMP '2024-01-31 18:00:00')) - epoch_us(entry_time)) / 6e7, 4) AS total_minutes,
   e.full_name AS employee_name, e.department FROM logs p LEFT JOIN employees e USING (plate_number)
   WHERE entry_time::DATE BETWEEN {a} AND {b} AND p.status = 'AUTHORIZED' GROUP BY ALL
@@ -141,7 +141,7 @@ TOP = """SELECT p.plate_number, round(sum(epoch_us(coalesce(exit_time, TIMESTAMP
 
 
 def _top(t, a, b):
-    return Q.top_presence(t.logs, t.employees, a, b, AS_OF).withColumn("total_minutes", F.round("total_minutes", 4))
+    return Q.top_presence(t.logs_between(a, b), t.employees, a, b, AS_OF).withColumn("total_minutes", F.round("total_minutes", 4))
 
 
 access("agg_top_presence", TOP.format(a="DATE '2024-01-01'", b="DATE '2024-01-31'"))(
@@ -171,7 +171,7 @@ access("agg_distinct_departments", "SELECT DISTINCT department FROM employees WH
 DEPT = f"""SELECT DISTINCT e.full_name AS employee_name, e.department, p.plate_number, p.entry_time FROM logs p
   JOIN employees e USING (plate_number) WHERE p.entry_time::DATE = {D} AND e.department = 'BUILDING'"""
 for _key in ("agg_dept_present_distinct", "q_department_present"):
-    access(_key, DEPT)(lambda t: Q.department_present(t.logs, t.employees, DAY, "BUILDING"))
+    access(_key, DEPT)(lambda t: Q.department_present(t.logs_between(DAY, DAY), t.employees, DAY, "BUILDING"))
 
 # -- reports -----------------------------------------------------------------------------------------
 
@@ -231,7 +231,7 @@ JAN = ("2024-01-01", "2024-01-31")
 
 
 def report(t: AccessTables, a: date, b: date) -> PresenceReport:
-    return PresenceReport(t.logs, t.unknown, t.employees, t.vehicles, a, b)
+    return PresenceReport(t.logs_between(a, b), t.unknown, t.employees, t.vehicles, a, b)
 
 
 def january(t: AccessTables) -> PresenceReport:
@@ -313,15 +313,15 @@ OV_SUM = """SELECT (SELECT count(*) FROM act) AS total_employees, (SELECT count(
   (SELECT count(*) FROM act) - (SELECT count(*) FROM fe) AS employees_absent, (SELECT count(*) FROM fe WHERE late) AS total_late,
   (SELECT count(*) FROM uo) AS unknown_plates"""
 for _key in ("agg_dashboard_summary", "q_presence_overview"):
-    access(_key, OV_SUM, OVERVIEW)(lambda t: S.PresenceOverview(t.logs, t.unknown, t.employees, DAY).summary())
+    access(_key, OV_SUM, OVERVIEW)(lambda t: S.PresenceOverview(t.logs_between(DAY, DAY), t.unknown, t.employees, DAY).summary())
 access("win_legacy_keep_latest", "SELECT * FROM acc", OVERVIEW)(
-    lambda t: S.PresenceOverview(t.logs, t.unknown, t.employees, DAY).accesses().select(
+    lambda t: S.PresenceOverview(t.logs_between(DAY, DAY), t.unknown, t.employees, DAY).accesses().select(
         "id", "plate_number", "entry_time", "exit_time", "status", "employee_name", "department"))
 access("win_first_entry_late", "SELECT * FROM fe", OVERVIEW)(
-    lambda t: S.PresenceOverview(t.logs, t.unknown, t.employees, DAY).first_entries())
+    lambda t: S.PresenceOverview(t.logs_between(DAY, DAY), t.unknown, t.employees, DAY).first_entries())
 
 # -- ordered operators -------------------------------------------------------------------------------
-access("win_pair_sessions", "SELECT * FROM logs")(lambda t: t.logs)
+access("win_pair_sessions", "SELECT * FROM logs")(lambda t: sessions.pair_sessions(t.detections))
 access("win_latest_open", """SELECT id, plate_number, entry_time, status FROM logs WHERE exit_time IS NULL
   QUALIFY row_number() OVER (PARTITION BY plate_number ORDER BY entry_time DESC, id DESC) = 1""")(
     lambda t: sessions.latest_open(t.logs).select("id", "plate_number", "entry_time", "status"))
@@ -333,7 +333,7 @@ access("win_multi_scans", SCAN_TOP, SCANS.format(m=60, where=""))(lambda t: sess
 access("ord_chain_desc", SCAN_TOP + " ORDER BY 2 DESC, 1", SCANS.format(m=240, where=""))(
     lambda t: sessions.multi_scans(t.logs, 240).orderBy(F.desc("count"), "plate_number"))
 access("q_multi_scans", SCAN_TOP, SCANS.format(m=5, where=f"WHERE entry_time::DATE = {D}"))(
-    lambda t: sessions.multi_scans(t.logs.filter(Q.on_day("entry_time", DAY)), 5))
+    lambda t: sessions.multi_scans(t.logs_between(DAY, DAY), 5))
 access("win_manual_open", """SELECT l.id, l.plate_number, l.status, c.a AS entry_time, c.b AS exit_time, true AS manual_opened, c.b IS NOT NULL AS manual_exit_opened
   FROM logs l JOIN (SELECT plate_number, min(ts) FILTER (rn = 1) AS a, min(ts) FILTER (rn = 2) AS b FROM (
     SELECT *, row_number() OVER (PARTITION BY plate_number ORDER BY ts) AS rn FROM cmd) GROUP BY 1) c USING (plate_number)
@@ -370,30 +370,31 @@ for _key in ("set_alerts", "q_alerts"):
 
 # -- questions ---------------------------------------------------------------------------------------
 access("q_plate_history", HEAD + f"WHERE p.plate_number = '{PLATE_8}' AND p.entry_time::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-25'")(
-    lambda t: Q.plate_history(t.logs, t.employees, t.vehicles, PLATE_8, span=(date(2024, 1, 5), date(2024, 1, 25))))
+    lambda t: Q.plate_history(
+        t.logs_between(date(2024, 1, 5), date(2024, 1, 25)), t.employees, t.vehicles, PLATE_8, span=(date(2024, 1, 5), date(2024, 1, 25))))
 PRESENT = HEAD + f"WHERE p.entry_time::DATE = {D} AND p.status = 'AUTHORIZED'"
-access("q_present_on", PRESENT)(lambda t: Q.present_on(t.logs, t.employees, t.vehicles, DAY))
+access("q_present_on", PRESENT)(lambda t: Q.present_on(t.logs_between(DAY, DAY), t.employees, t.vehicles, DAY))
 access("q_currently_present", HEAD + "WHERE p.entry_time::DATE = DATE '2024-01-29' AND p.status = 'AUTHORIZED' AND p.exit_time IS NULL")(
-    lambda t: Q.present_on(t.logs, t.employees, t.vehicles, date(2024, 1, 29), currently=True))
+    lambda t: Q.present_on(t.logs_between(date(2024, 1, 29), date(2024, 1, 29)), t.employees, t.vehicles, date(2024, 1, 29), currently=True))
 access("q_absent_on", f"""SELECT full_name, department, plate_number FROM employees e WHERE is_active
   AND plate_number NOT IN (SELECT plate_number FROM logs WHERE entry_time::DATE = {D})""")(
-    lambda t: Q.absent_on(t.logs, t.employees, DAY))
+    lambda t: Q.absent_on(t.logs_between(DAY, DAY), t.employees, DAY))
 access("q_late_on", f"""SELECT p.id, e.full_name AS employee_name, e.department, p.plate_number, p.entry_time FROM logs p
   LEFT JOIN employees e USING (plate_number) WHERE p.entry_time::DATE = {D} AND p.status = 'AUTHORIZED' AND p.entry_time::TIME > TIME '09:15:00'""")(
-    lambda t: Q.late_on(t.logs, t.employees, DAY))
+    lambda t: Q.late_on(t.logs_between(DAY, DAY), t.employees, DAY))
 access("q_access_between_times", HEAD + f"WHERE p.entry_time::DATE = {D} AND p.entry_time::TIME BETWEEN TIME '08:00:00' AND TIME '11:00:00'")(
-    lambda t: Q.access_between_times(t.logs, t.employees, t.vehicles, DAY, "08:00:00", "11:00:00"))
+    lambda t: Q.access_between_times(t.logs_between(DAY, DAY), t.employees, t.vehicles, DAY, "08:00:00", "11:00:00"))
 access("q_access_at_time", HEAD + f"WHERE p.entry_time::DATE = {D} AND p.entry_time::TIME = TIME '08:30:00'")(
-    lambda t: Q.access_at_time(t.logs, t.employees, t.vehicles, DAY, "08:30:00"))
+    lambda t: Q.access_at_time(t.logs_between(DAY, DAY), t.employees, t.vehicles, DAY, "08:30:00"))
 access("q_denied_on", SHORT + "WHERE p.entry_time::DATE = DATE '2024-01-13' AND p.status IN ('BLACKLISTED', 'DENIED')")(
-    lambda t: Q.denied_on(t.logs, t.employees, t.vehicles, date(2024, 1, 13)))
+    lambda t: Q.denied_on(t.logs_between(date(2024, 1, 13), date(2024, 1, 13)), t.employees, t.vehicles, date(2024, 1, 13)))
 access("q_denied_count", "SELECT count(*) AS denied_count FROM logs WHERE entry_time::DATE = DATE '2024-01-13' AND status IN ('BLACKLISTED', 'DENIED')")(
-    lambda t: Q.denied_count(t.logs, date(2024, 1, 13)))
+    lambda t: Q.denied_count(t.logs_between(date(2024, 1, 13), date(2024, 1, 13)), date(2024, 1, 13)))
 access("q_unknown_on", f"SELECT id, plate_number, detected_at, image_path FROM unknown_detections WHERE detected_at::DATE = {D}")(
     lambda t: Q.unknown_on(t.unknown, DAY))
 access("q_entry_without_exit", SHORT + "WHERE p.exit_time IS NULL")(
     lambda t: Q.entry_without_exit(t.logs, t.employees, t.vehicles))
-access("q_most_detected", MOST.format(a=D, b="DATE '2024-01-21'"))(lambda t: Q.most_detected(t.logs, *Q.week_of(DAY)))
+access("q_most_detected", MOST.format(a=D, b="DATE '2024-01-21'"))(lambda t: Q.most_detected(t.logs_between(*Q.week_of(DAY)), *Q.week_of(DAY)))
 access("q_top_presence", TOP.format(a=D, b="DATE '2024-01-21'"))(lambda t: _top(t, *Q.week_of(DAY)))
 access("q_employee_history", f"""SELECT p.id, p.plate_number, p.entry_time, p.exit_time, p.status, e.full_name AS employee_name, e.department
   FROM logs p JOIN employees e USING (plate_number) WHERE lower(e.full_name) = lower('{NAME_8}')""")(
@@ -412,9 +413,9 @@ access("q_access_last10", ACC5 + "ORDER BY l.access_time DESC, l.plate_number LI
 access("q_access_denied", ACC5 + "WHERE l.status = 'denied' ORDER BY l.access_time DESC, l.plate_number LIMIT 20")(
     lambda t: Q.access_denied(t.access_logs, t.employees))
 access("q_access_entered_today", ACC4 + f"WHERE l.access_time::DATE = {D} AND l.status = 'authorized'")(
-    lambda t: Q.access_entered(t.access_logs, t.employees, DAY))
+    lambda t: Q.access_entered(t.accesses_between(DAY, DAY), t.employees, DAY))
 access("q_access_since_time", ACC4 + "WHERE l.access_time >= TIMESTAMP '2024-01-15 08:30:00' AND l.status = 'authorized'")(
-    lambda t: Q.access_since(t.access_logs, t.employees, datetime(2024, 1, 15, 8, 30)))
+    lambda t: Q.access_since(t.accesses_between(DAY, None), t.employees, datetime(2024, 1, 15, 8, 30)))
 access("q_access_present", ACC5 + """JOIN (SELECT plate_number, max(access_time) AS m FROM access_logs GROUP BY 1) x
   ON x.plate_number = l.plate_number AND x.m = l.access_time WHERE l.access_time::DATE = DATE '2024-01-29' AND l.status = 'authorized'""")(
     lambda t: Q.access_present(t.access_logs, t.employees, date(2024, 1, 29)))

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnstone.constants import AUTHORIZED, BLACKLISTED, NO_PLATE, UNKNOWN
 from turnstone.functions.plates import normalize_plate
-from turnstone.operators.sessions import pair_sessions
+from turnstone.operators.gate import DETECT
+from turnstone.session import run_folder
 from turnstone.sources.files import read_table
+from turnstone.sources.log_store import LogStore
+
+#: Folders of the stored logs, by application and folder of the given tables.
+_STORES: dict[tuple[str, str], str] = {}
 
 
 def plate_of(key: Column) -> Column:
@@ -34,7 +40,7 @@ def raw_plate_of(plate: Column, kind: Column, value: Column) -> Column:
 
 
 class AccessTables:
-    """Lazy views; nothing is read before an action."""
+    """Lazy views; nothing is read before an action, but for the stored logs, which the first question on logs writes."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -97,9 +103,23 @@ class AccessTables:
             "event_id", "plate_number", "detected_at", status.alias("status"), "image_path"
         )
 
+    @cached_property
+    def store(self) -> LogStore:
+        """The stored logs of these tables: written by the first question of an application, read by all."""
+        place = (self.spark.sparkContext.applicationId, self.folder)
+        path = _STORES.setdefault(place, run_folder(self.spark, "access-logs"))
+        store = LogStore(self.spark, path)
+        if store.table.number < 0:
+            store.apply(self.detections.withColumn("kind", F.lit(DETECT)), 0)
+        return store
+
     @cached_property
     def logs(self) -> DataFrame:
-        return pair_sessions(self.detections)
+        return self.store.logs()
+
+    def logs_between(self, start: date | None, end: date | None) -> DataFrame:
+        """Logs with an entry on these days, from the folders of these days."""
+        return self.store.logs(start, end)
 
     @cached_property
     def unknown(self) -> DataFrame:
@@ -109,5 +129,8 @@ class AccessTables:
 
     @cached_property
     def access_logs(self) -> DataFrame:
+        return self.accesses_between(None, None)
+
+    def accesses_between(self, start: date | None, end: date | None) -> DataFrame:
         lower = F.when(F.col("status") == AUTHORIZED, "authorized").otherwise("denied")
-        return self.logs.select("plate_number", F.col("entry_time").alias("access_time"), lower.alias("status"))
+        return self.logs_between(start, end).select("plate_number", F.col("entry_time").alias("access_time"), lower.alias("status"))
