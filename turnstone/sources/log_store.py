@@ -13,6 +13,9 @@ history before, for the rule looks back no further. So a batch costs what it hol
 events come late, its logs from that point on are taken back and its stored events from that point are paired again;
 only the days that they touch are written anew. The result equals pairing all events at once, however they were split.
 
+A plate without an open log leaves ``open`` once its last event is older than the retention. Events before that time are
+taken as late for plates without a row, and their stored events tell.
+
 A batch has a number. The same number again changes nothing, so a stream that repeats a batch does no harm.
 """
 
@@ -41,12 +44,14 @@ EVENT_COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
 LOG_FIELDS = [c.split()[0] for c in LOG.split(", ")]
 #: A day in more pieces than this is written anew with the next batch that adds to it.
 PIECES = 16
+RETENTION = timedelta(days=7)
 
 
 class LogStore:
     """A stored log table below a folder of the shared store."""
 
-    def __init__(self, spark: SparkSession, path: str, dedup_minutes: int = K.DEDUP_MINUTES, rows_per_slot: int = 4096):
+    def __init__(self, spark: SparkSession, path: str, dedup_minutes: int = K.DEDUP_MINUTES, rows_per_slot: int = 4096, retention: timedelta = RETENTION):
+        self.retention = retention
         self.spark, self.table = spark, VersionedTable(spark, path)
         self.minutes, self.rows_per_slot = dedup_minutes, rows_per_slot
 
@@ -92,8 +97,11 @@ class LogStore:
         state = self.state()
         starts = seen.groupBy("plate_number").agg(
             F.min(F.struct(F.col("detected_at").alias("at"), "event_id")).alias("start"), F.max(F.struct(F.col("detected_at").alias("at"), "event_id")).alias("end"))
-        # every plate of the batch with its state; late ones start before their last event
-        plates = materialize(starts.join(state, "plate_number", "left").withColumn("late", F.coalesce(F.col("start") < F.col("last"), F.lit(False))), "batch-plates")
+        newest = state.agg(F.max("last.at")).first()[0]
+        forgotten = F.lit(None if newest is None else newest - self.retention).cast("timestamp_ntz")
+        # every plate of the batch with its state; late ones start before their last event, or before what is remembered
+        late = F.coalesce(F.col("start") < F.col("last"), F.col("start.at") < forgotten, F.lit(False))
+        plates = materialize(starts.join(state, "plate_number", "left").withColumn("late", late), "batch-plates")
         first_late = plates.filter("late").agg(F.min("start.at")).first()[0]
         again, back = (None, None) if first_late is None else self._taken_back(plates, seen, first_late)
 
@@ -112,7 +120,7 @@ class LogStore:
         marked = self._marked(logs, seeds, kept_before)
         kept += self._write_changes(acted, logs, number, seeds, again)
         kept += self._write_logs(marked, batch, back, number)
-        self._write_open(marked, plates, state, number)
+        self._write_open(marked, plates, state.filter(F.col("log").isNotNull() | F.coalesce(F.col("last.at") >= forgotten, F.lit(True))), number)
         self.table.commit(number, [*kept, ("open", None, number)])
         return True
 
@@ -206,8 +214,3 @@ class LogStore:
         """A foreachBatch function: prepares the rows of a micro-batch as events and adds them under its number."""
         return lambda batch, number: self.apply(prepare(batch), number)
 
-
-def daily_totals(store: LogStore) -> DataFrame:
-    """Entries and unknown detections per day, from the stored events: late ones count for their own day."""
-    events = store.table.read("events", f"{EVENT}, day date", "day").filter(F.col("kind") == gate.DETECT)
-    return events.groupBy("day").agg(F.count("*").alias("detections"), F.count_if(F.col("status") == K.UNKNOWN).alias("unknown"))

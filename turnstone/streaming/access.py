@@ -1,34 +1,16 @@
-"""Detections as streams: decisions, sessions with commands, duplicates, chains, counts, sinks."""
+"""Detections as streams: each micro-batch goes through the library's own batch operators and updates a stored table.
 
-from __future__ import annotations
+Sources should be limited by ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``: a batch is processed as a distributed job,
+whatever its size, but its results are seen only when it is done.
+"""
 
-from collections.abc import Iterator
-from datetime import timedelta
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
 from turnstone import constants as K
 from turnstone.operators.presence import evaluate
-from turnstone.session import shared_folder
-
-OPEN = StructType([
-    StructField("log_id", LongType()), StructField("entry_time", TimestampType()), StructField("status", StringType()),
-    StructField("manual", LongType()), StructField("kept_at", TimestampType()),
-])
-CHANGES = StructType([
-    StructField("plate_number", StringType()), StructField("event_id", LongType()), StructField("log_id", LongType()),
-    StructField("action", StringType()), StructField("entry_time", TimestampType()), StructField("exit_time", TimestampType()),
-    StructField("status", StringType()),
-])
-RESTRICTED = set(K.RESTRICTED)
-
-
-def as_event_time(df: DataFrame, column: str = "detected_at") -> DataFrame:
-    """Watermarks need TIMESTAMP; wall-clock values are read in the session zone (UTC)."""
-    return df.withColumn(column, F.col(column).cast("timestamp"))
+from turnstone.session import run_folder
 
 
 def decide(stream: DataFrame, vehicles: DataFrame) -> DataFrame:
@@ -36,87 +18,6 @@ def decide(stream: DataFrame, vehicles: DataFrame) -> DataFrame:
     return evaluate(stream, vehicles)
 
 
-class SessionProcessor(StatefulProcessor):
-    """Open log of one plate. Events of a batch are applied in time order.
-
-    Kinds: ``detect`` follows the entry/exit rule, ``manual_open`` moves the entry of an open
-    restricted log and then closes it, ``exit`` closes whatever is open. The state also keeps the
-    last kept entry for duplicate marks; its size is constant.
-    """
-
-    def __init__(self, dedup_minutes: int = K.DEDUP_MINUTES):
-        self.window = timedelta(minutes=dedup_minutes)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", OPEN)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # One plate's events of one micro-batch; the source's rate limit bounds them.
-        events = pd.concat(list(rows), ignore_index=True).sort_values(["detected_at", "event_id"])
-        log = self.open.get() if self.open.exists() else None
-        log_id, entry, status, manual, kept = log if log else (None, None, None, 0, None)
-        out = []
-        for e in events.itertuples(index=False):
-            at, action, leave = e.detected_at.to_pydatetime(), None, None
-            if e.kind == "manual_open":
-                if log_id is None or status not in RESTRICTED:
-                    continue
-                if manual:
-                    action, leave = "manual_exit", at
-                else:
-                    entry, manual, action = at, 1, "manual_entry"
-            elif e.kind == "exit":
-                if log_id is None:
-                    continue
-                action, leave = "exit", at
-            elif log_id is None:
-                log_id, entry, status, manual = int(e.event_id), at, e.status, 0
-                action = "entry"
-                if kept is not None and at - kept <= self.window:
-                    action = "entry_duplicate"
-                else:
-                    kept = at
-            elif status in RESTRICTED and e.status in RESTRICTED:
-                action = "exit_pending"
-            else:
-                status = e.status if status in RESTRICTED else status
-                action, leave = "exit", at
-            out.append((key[0], int(e.event_id), log_id, action, entry, leave, status))
-            if leave is not None:
-                log_id, entry, status, manual = None, None, None, 0
-        if log_id is not None or kept is not None:
-            self.open.update((log_id, entry, status, manual, kept))
-        if out:
-            yield pd.DataFrame(out, columns=CHANGES.fieldNames())
-
-    def close(self) -> None:
-        pass
-
-
-def sessions(events: DataFrame, dedup_minutes: int = K.DEDUP_MINUTES) -> DataFrame:
-    """Log changes from ``(event_id, plate_number, detected_at, status, kind)``; union command streams in first."""
-    seen = events.filter("plate_number <> ''").select("plate_number", "event_id", "detected_at", "status", "kind")
-    return seen.groupBy("plate_number").transformWithStateInPandas(
-        SessionProcessor(dedup_minutes), outputStructType=CHANGES, outputMode="append", timeMode="none")
-
-
-def multi_scan_chains(entries: DataFrame, minutes: int, delay: str = "1 hour") -> DataFrame:
-    """Runs of close entries per plate, two or more."""
-    chains = entries.withWatermark("entry_time", delay).groupBy("plate_number", F.session_window("entry_time", f"{minutes} minutes"))
-    return chains.agg(F.count("*").alias("count")).filter("count >= 2")
-
-
-def daily_counts(detections: DataFrame, delay: str = "1 hour") -> DataFrame:
-    return detections.withWatermark("detected_at", delay).groupBy(F.window("detected_at", "1 day")).agg(
-        F.count("*").alias("detections"), F.count_if(F.col("status") == K.UNKNOWN).alias("unknown"))
-
-
-def late_rows(detections: DataFrame, newest: DataFrame, delay_seconds: int = 3600) -> DataFrame:
-    """Rows of a batch older than the watermark allows, for the repair table."""
-    limit = newest.agg((F.max("detected_at") - F.make_interval(secs=F.lit(delay_seconds))).alias("limit"))
-    return detections.filter(F.col("detected_at") < limit.scalar())
-
-
 def unknown_sink(path: str):
     """foreachBatch writer of unknown detections; batch folders make a retry overwrite itself."""
 
@@ -127,10 +28,8 @@ def unknown_sink(path: str):
     return write
 
 
-def run_available(stream: DataFrame, sink: str, name: str, mode: str = "append"):
-    """Processes what is there and stops; checkpoint and output live in the shared folder."""
-    folder = shared_folder(stream.sparkSession)
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/{name}-state").format("parquet").option(
-        "path", sink).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, sink, name: str) -> None:
+    """Gives what is there to a foreachBatch function, batch by batch in order, and stops."""
+    state = run_folder(stream.sparkSession, name)
+    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{state}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(sink)
