@@ -1,80 +1,38 @@
-"""Unicode folding with built-in expressions.
+"""Unicode folding on the JVM side.
 
-Spark has no normalisation builtin. One-to-one foldings become a ``translate`` table that is
-derived from the Unicode data on the driver; the few one-to-many forms are replaced by name.
+Spark has no normalisation function of its own, but it ships the ICU library for its collations, and `try_reflect` calls
+its static methods: whole compatibility composition and decomposition, with canonical order, for all code points. Only
+texts with a character beyond ASCII take that way. The call counts as not deterministic, so a folded column is computed in
+a projection of its own before it becomes a join key, and filters that should reach a scan stand before the folding.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from functools import lru_cache
-
 from pyspark.sql import Column, functions as F
 
 from turnstone.functions.binding import let
 
-_BLOCKS = (
-    (0x00A0, 0x024F),  # Latin supplements
-    (0x0370, 0x052F),  # Greek, Cyrillic
-    (0x0600, 0x08FF),  # Arabic blocks
-    (0x1E00, 0x1FFF),  # Latin and Greek extended additional
-    (0x2000, 0x218F),  # punctuation, super/subscripts, letter-like, number forms
-    (0x3000, 0x3000),  # ideographic blank
-    (0xFB00, 0xFDFF),  # ligatures, Arabic presentation A
-    (0xFE70, 0xFEFE),  # Arabic presentation B
-    (0xFF01, 0xFF5E),  # full-width forms
-)
-
-
-def _code_points():
-    for low, high in _BLOCKS:
-        yield from range(low, high + 1)
-
-
-@lru_cache(maxsize=None)
-def _fold_table(form: str, drop_marks: bool) -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    source, target, longer = [], [], []
-    for cp in _code_points():
-        char = chr(cp)
-        folded = unicodedata.normalize(form, char)
-        if drop_marks:
-            folded = "".join(c for c in folded if not unicodedata.combining(c))
-        if folded == char or not folded:
-            continue
-        if len(folded) == 1:
-            source.append(char)
-            target.append(folded)
-        elif cp < 0x0600 or 0x2000 <= cp < 0xFB50:
-            longer.append((char, folded))
-    return "".join(source), "".join(target), tuple(longer)
-
-
-def _fold(col: Column, form: str, drop_marks: bool) -> Column:
-    return let(col, lambda text: _fold_bound(text, form, drop_marks))
-
-
-def _fold_bound(col: Column, form: str, drop_marks: bool) -> Column:
-    source, target, longer = _fold_table(form, drop_marks)
-    folded = F.translate(col, source, target)
-    # One-to-many forms are rare: test once, then replace only where one occurs.
-    many = folded
-    for char, text in longer:
-        if ord(char) in _COMMON_LONG:
-            many = F.replace(many, F.lit(char), F.lit(text))
-    probe = "[" + "".join(chr(c) for c in sorted(_COMMON_LONG)) + "]"
-    return F.when(col.rlike(probe), many).otherwise(folded)
-
-
-# One-to-many forms met in text (fractions, ellipsis, numero, trade mark, ligatures).
-_COMMON_LONG = frozenset(
-    [0x00BC, 0x00BD, 0x00BE, 0x0132, 0x0133, 0x2026, 0x2116, 0x2122]
-    + list(range(0xFB00, 0xFB07))
-)
+ICU_NORMALIZER = "com.ibm.icu.text.Normalizer"
+BEYOND_ASCII = r"[^\x00-\x7F]"
+
+
+def _icu(col: Column, method: str) -> Column:
+    """`method` of the library with compatibility on; ASCII texts and null as they are."""
+    def folded(text: Column) -> Column:
+        call = F.try_reflect(F.lit(ICU_NORMALIZER), F.lit(method), text, F.lit(True))
+        return F.when(text.rlike(BEYOND_ASCII), call).otherwise(text)
+
+    return let(col, folded)
 
 
 def nfkc(col: Column) -> Column:
     """Compatibility composition."""
-    return _fold(col, "NFKC", False)
+    return _icu(col, "compose")
+
+
+def nfkd(col: Column) -> Column:
+    """Compatibility decomposition."""
+    return _icu(col, "decompose")
 
 
 def drop_format_chars(col: Column) -> Column:
@@ -83,4 +41,4 @@ def drop_format_chars(col: Column) -> Column:
 
 def strip_marks(col: Column) -> Column:
     """Compatibility decomposition without combining marks."""
-    return F.regexp_replace(_fold(col, "NFKD", True), r"\p{M}", "")
+    return F.regexp_replace(nfkd(col), r"\p{M}", "")

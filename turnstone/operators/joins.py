@@ -128,7 +128,7 @@ def lookup_vehicle(plates: DataFrame, vehicles: DataFrame) -> DataFrame:
 def attach_names(rows: DataFrame, employees: DataFrame) -> DataFrame:
     """Fills a missing ``employee_name`` by normalised plate; the last employee per key wins."""
     named = employees.filter("full_name <> '' AND plate_number <> ''")
-    names = named.groupBy(normalize_plate(F.col("plate_number")).alias("_key")).agg(
+    names = named.withColumn("_key", normalize_plate(F.col("plate_number"))).groupBy("_key").agg(
         F.max_by("full_name", "id").alias("_name")
     )
     keyed = rows.withColumn("_key", normalize_plate(F.col("plate_number")))

@@ -112,6 +112,14 @@ def merge_maps(base: Column, incoming: Column) -> Column:
     return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(incoming, k)), incoming)
 
 
+def patched(documents: DataFrame, patches: DataFrame) -> DataFrame:
+    """Stored documents (doc_id, core fields, extra) with patches (doc_id, patch JSON, replace): merged, or replaced by them."""
+    old = documents.select("doc_id", F.struct(*[c for c in documents.columns if c != "doc_id"]).alias("_old"))
+    new = patches.select("doc_id", hybrid(F.col("patch")).alias("_new"), "replace")
+    after = F.when(F.col("_new").isNull(), F.col("_old")).when(F.col("replace"), F.col("_new")).otherwise(merge_hybrid(F.col("_old"), F.col("_new")))
+    return old.join(new, "doc_id", "left").select("doc_id", after.alias("_h")).select("doc_id", "_h.*").select(*documents.columns)
+
+
 def is_empty_like(col: Column) -> Column:
     return col.isNull() | (F.trim(col) == "") | F.lower(F.trim(col)).isin(*EMPTY_WORDS)
 

@@ -1,19 +1,31 @@
-"""Table changes as joins; ``write_table`` puts a result under a new path, never over its input."""
+"""Table changes as joins; ``sources.stored`` writes them as versions, never over their input."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnstone import constants as K
 from turnstone.functions.plates import normalize_plate
-from turnstone.session import run_folder
+from turnstone.session import materialize
 
+RANGES = 64
 
-def write_table(df: DataFrame, name: str, partition_by: str | None = None) -> str:
-    path = run_folder(df.sparkSession, name)
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return path
+
+def assign_ids(table: DataFrame, key: str, id_column: str = "id") -> DataFrame:
+    """Gives rows without an id the numbers after the largest one, in order of their key (which names a row).
+
+    Two levels: new rows are written in ranges of the key, counted by range, and numbered inside their range; no window
+    holds more than one range or one row per range.
+    """
+    fresh = table.filter(F.col(id_column).isNull()).repartitionByRange(RANGES, key).withColumn("_range", F.spark_partition_id())
+    fresh = materialize(fresh, "new-rows")
+    counts = fresh.groupBy("_range").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    largest = table.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("m"))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    numbered = fresh.join(F.broadcast(starts), "_range").withColumn(id_column, F.col("_start") + number + largest.scalar())
+    return table.filter(F.col(id_column).isNotNull()).unionByName(numbered.select(*table.columns))
 
 
 def append(table: DataFrame, rows: DataFrame) -> DataFrame:
@@ -39,7 +51,7 @@ def _target(changes: DataFrame, table: DataFrame) -> DataFrame:
 def upsert_authorized(vehicles: DataFrame, employees: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Registrations ``(seq, plate_number, full_name, department, is_authorized, employee_code)``; the last one wins.
 
-    New rows get no id here; a table format or the sink assigns it. Stored blacklist reasons stay.
+    New rows get no id here: ``assign_ids`` gives it when the change is stored. Stored blacklist reasons stay.
     """
     def last(table: DataFrame) -> DataFrame:
         rows = latest_changes(_target(changes, table).drop("plate_number").withColumnRenamed("target", "plate_number"), "plate_number", "seq")

@@ -45,7 +45,7 @@ access("src_employees", "SELECT * FROM employees WHERE is_active")(lambda t: t.e
 access("src_logs_range", f"SELECT * FROM logs WHERE entry_time >= {D} AND entry_time < DATE '2024-01-18'")(
     lambda t: t.logs_between(DAY, date(2024, 1, 17)).orderBy("entry_time", "id"))
 access("src_unknown_range", f"SELECT * FROM unknown_detections WHERE detected_at >= {D} AND detected_at < DATE '2024-01-22'")(
-    lambda t: t.unknown.filter(in_period(F.col("detected_at"), DAY, date(2024, 1, 21))).orderBy("detected_at", "id"))
+    lambda t: t.unknown_between(DAY, date(2024, 1, 21)).orderBy("detected_at", "id"))
 access("src_logs_recent", "SELECT * FROM logs WHERE status = 'AUTHORIZED' ORDER BY entry_time DESC, id LIMIT 50")(
     lambda t: Q.newest(t.logs.filter(F.col("status") == K.AUTHORIZED), 50))
 access("src_access_logs", "SELECT * FROM access_logs")(lambda t: t.access_logs)
@@ -231,7 +231,7 @@ JAN = ("2024-01-01", "2024-01-31")
 
 
 def report(t: AccessTables, a: date, b: date) -> PresenceReport:
-    return PresenceReport(t.logs_between(a, b), t.unknown, t.employees, t.vehicles, a, b)
+    return PresenceReport(t.logs_between(a, b), t.unknown_between(a, b), t.employees, t.vehicles, a, b)
 
 
 def january(t: AccessTables) -> PresenceReport:
@@ -313,12 +313,12 @@ OV_SUM = """SELECT (SELECT count(*) FROM act) AS total_employees, (SELECT count(
   (SELECT count(*) FROM act) - (SELECT count(*) FROM fe) AS employees_absent, (SELECT count(*) FROM fe WHERE late) AS total_late,
   (SELECT count(*) FROM uo) AS unknown_plates"""
 for _key in ("agg_dashboard_summary", "q_presence_overview"):
-    access(_key, OV_SUM, OVERVIEW)(lambda t: S.PresenceOverview(t.logs_between(DAY, DAY), t.unknown, t.employees, DAY).summary())
+    access(_key, OV_SUM, OVERVIEW)(lambda t: S.PresenceOverview(t.logs_between(DAY, DAY), t.unknown_between(DAY, DAY), t.employees, DAY).summary())
 access("win_legacy_keep_latest", "SELECT * FROM acc", OVERVIEW)(
-    lambda t: S.PresenceOverview(t.logs_between(DAY, DAY), t.unknown, t.employees, DAY).accesses().select(
+    lambda t: S.PresenceOverview(t.logs_between(DAY, DAY), t.unknown_between(DAY, DAY), t.employees, DAY).accesses().select(
         "id", "plate_number", "entry_time", "exit_time", "status", "employee_name", "department"))
 access("win_first_entry_late", "SELECT * FROM fe", OVERVIEW)(
-    lambda t: S.PresenceOverview(t.logs_between(DAY, DAY), t.unknown, t.employees, DAY).first_entries())
+    lambda t: S.PresenceOverview(t.logs_between(DAY, DAY), t.unknown_between(DAY, DAY), t.employees, DAY).first_entries())
 
 # -- ordered operators -------------------------------------------------------------------------------
 access("win_pair_sessions", "SELECT * FROM logs")(lambda t: sessions.pair_sessions(t.detections))

@@ -14,8 +14,13 @@ from turnstone.plans.access_sql import PLATE, sql as asql
 from turnstone.plans.catalog_access import DIRECTORY, JAN, SUMMARY, access, january, period_views
 from turnstone.plans.catalog_documents import FILES, docs, files
 from turnstone.plans.document_sql import mad, sql as dsql
+from turnstone.session import materialize, run_folder
 from turnstone.sources.access import AccessTables, plate_of
 from turnstone.sources.documents import DocumentTables
+from turnstone.sources.stored import StoredTables
+
+
+PERIOD = (date(2024, 1, 1), date(2024, 1, 31))
 
 
 def table(key: str, name: str, text: str | None):
@@ -126,9 +131,18 @@ docs("fn_payload_value", """SELECT doc_id, CASE kind WHEN 'invoice' THEN 'v' ||
     lambda t: t.ocr.select("doc_id", F.when(F.col("kind") == "invoice", F.format_string('{"value":"v%d","bbox":[1,2,3,4]}', "doc_id")).when(
         F.col("kind") == "bank_statement", F.format_string('{"text":"t%d","bbox":[1,2]}', "doc_id")).otherwise(F.col("doc_id").cast("string")).alias("p")).select(
         "doc_id", P.payload_value(F.col("p")).alias("value"), P.has_bbox(F.col("p")).alias("boxed")))
-docs("snk_document_patch", "SELECT doc_id, CASE WHEN kind = 'invoice' THEN NULL ELSE nom END AS nom, 'Anne' AS prenom FROM pay", PAY)(
-    lambda t: t.ocr.join(t.ocr.select("doc_id", F.lit('{"first_name":"Anne","nom":"null"}').alias("patch")), "doc_id").select(
-        "doc_id", P.merge_hybrid(P.hybrid(F.col("data")), P.hybrid(F.col("patch"))).alias("h")).select("doc_id", "h.nom", "h.prenom"))
+PATCHED = "doc_id long, " + ", ".join(f"{c} string" for c in P.CORE_FIELDS) + ", extra map<string,string>"
+
+
+@docs("snk_document_patch", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'null' WHEN kind = 'invoice' THEN NULL ELSE nom END AS nom, 'Anne' AS prenom FROM pay""", PAY)
+def _snk_patch(t):
+    """Patches are merged into a document's data, or replace it (here for every third document)."""
+    tables = StoredTables(t.spark, run_folder(t.spark, "snk-patch"), {"documents": PATCHED})
+    tables.change(0, documents=t.ocr.select("doc_id", P.hybrid(F.col("data")).alias("h")).select("doc_id", "h.*"))
+    patches = t.ocr.select("doc_id", F.lit('{"first_name":"Anne","nom":"null"}').alias("patch"), (F.col("doc_id") % 3 == 0).alias("replace"))
+    twice(tables.change, 1, documents=lambda old: P.patched(old, patches))
+    return tables.read("documents").select("doc_id", "nom", "prenom")
+
 
 # -- answers -----------------------------------------------------------------------------------------------
 ASK = ("Quel est le montant total ?", "Quelle est la TVA ?", "Quelle est la date ?", "Quel est l'email ?", "Quelle adresse ?", "Quel client ?", "Donne le fournisseur")
@@ -192,10 +206,27 @@ docs("doc_review_bbox_merge", """SELECT doc_id, 'nom' AS field, CASE WHEN m = 1
   UNION ALL SELECT doc_id, 'montant', 16 FROM rv WHERE m <> 0 UNION ALL SELECT doc_id, 'motif', 13 FROM rv WHERE m = 2""", REVIEWS)(
     lambda t: R.bbox_merge(state(t), t.lines).select("doc_id", "field", "line_no"))
 
-# -- table changes -------------------------------------------------------------------------------------------
-access("snk_unknown", "SELECT plate_number, detected_at FROM unknown_detections UNION ALL SELECT plate_number, detected_at FROM det WHERE status = 'BLACKLISTED'")(
-    lambda t: U.append(t.unknown, t.detections.filter("status = 'BLACKLISTED'").withColumnRenamed("event_id", "id")).select("plate_number", "detected_at"))
+# -- table changes: each query returns the stored table, read back after the last change came twice ---------------
+def twice(change, number, **what):
+    if not change(number, **what) or change(number, **what):
+        raise RuntimeError("a change must count once")
+
+
+UNKNOWN_ROWS = "id long, plate_number string, image_path string, detected_at timestamp_ntz"
+
+
+@access("snk_unknown", "SELECT id, plate_number, detected_at FROM unknown_detections UNION ALL SELECT event_id, plate_number, detected_at FROM det WHERE status = 'BLACKLISTED'")
+def _snk_unknown(t):
+    tables = StoredTables(t.spark, run_folder(t.spark, "snk-unknown"), {"unknown": UNKNOWN_ROWS})
+    tables.append(0, unknown=t.unknown)
+    twice(tables.append, 1, unknown=t.store.events().filter("status = 'BLACKLISTED'").withColumnRenamed("event_id", "id"))
+    return tables.read("unknown").select("id", "plate_number", "detected_at")
+
+
 CHANGES = """chg AS (SELECT plate_number, max(event_id) AS seq FROM det WHERE plate_number <> '' GROUP BY 1)"""
+VEHICLES = ("id long, plate_number string, owner_name string, vehicle_type string, status string, blacklist_reason string, "
+            "blacklisted_at timestamp_ntz, created_at timestamp_ntz")
+EMPLOYEES = "id long, full_name string, plate_number string, department string, employee_code string, is_active boolean"
 
 
 def changes(t):
@@ -205,35 +236,99 @@ def changes(t):
         F.lit("OPS").alias("department"), (F.col("event_id") % 4 != 0).alias("is_authorized"), F.lit("H1").alias("employee_code"))
 
 
-access("snk_upsert_authorized", """SELECT coalesce(v.plate_number, c.plate_number) AS plate_number, CASE WHEN c.seq IS NULL THEN owner_name ELSE 'Holder ' || c.seq END AS owner_name,
-  CASE WHEN c.seq IS NULL THEN status WHEN c.seq % 4 <> 0 THEN 'AUTHORIZED' ELSE 'BLACKLISTED' END AS status, blacklist_reason FROM vehicles v FULL JOIN chg c USING (plate_number)""", CHANGES)(
-    lambda t: U.upsert_authorized(t.vehicles, t.employees, changes(t))[0].select("plate_number", "owner_name", "status", "blacklist_reason"))
-access("snk_upsert_blacklist", """SELECT coalesce(v.plate_number, c.plate_number) AS plate_number, coalesce(owner_name, 'Unknown') AS owner_name, coalesce(vehicle_type, 'unknown') AS vehicle_type,
-  CASE WHEN c.seq IS NULL THEN status ELSE 'BLACKLISTED' END AS status, CASE WHEN c.seq IS NULL THEN blacklist_reason ELSE 'r' || c.seq END AS blacklist_reason FROM vehicles v FULL JOIN chg c USING (plate_number)""", CHANGES)(
-    lambda t: U.upsert_blacklist(t.vehicles, changes(t).select(
+def registry(t, name):
+    tables = StoredTables(t.spark, run_folder(t.spark, name), {"vehicles": VEHICLES, "employees": EMPLOYEES, "unknown": UNKNOWN_ROWS})
+    tables.change(0, vehicles=t.vehicles, employees=t.employees, unknown=t.unknown)
+    return tables
+
+
+@access("snk_upsert_authorized", """SELECT 'vehicle' AS kind, coalesce(v.id, (SELECT max(id) FROM vehicles) + row_number() OVER (PARTITION BY v.id IS NULL ORDER BY plate_number)) AS id,
+    plate_number, CASE WHEN c.seq IS NULL THEN owner_name ELSE 'Holder ' || c.seq END AS name, CASE WHEN c.seq IS NULL THEN vehicle_type ELSE 'OPS' END AS department,
+    CASE WHEN c.seq IS NULL THEN status WHEN c.seq % 4 <> 0 THEN 'AUTHORIZED' ELSE 'BLACKLISTED' END AS status, blacklist_reason AS detail FROM vehicles v FULL JOIN chg c USING (plate_number)
+  UNION ALL SELECT 'employee', coalesce(e.id, (SELECT max(id) FROM employees) + row_number() OVER (PARTITION BY e.id IS NULL ORDER BY plate_number)),
+    plate_number, CASE WHEN c.seq IS NULL THEN full_name ELSE 'Holder ' || c.seq END, CASE WHEN c.seq IS NULL THEN department ELSE 'OPS' END,
+    CASE WHEN CASE WHEN c.seq IS NULL THEN is_active ELSE c.seq % 4 <> 0 END THEN 'true' ELSE 'false' END, CASE WHEN c.seq IS NULL THEN employee_code ELSE 'H1' END FROM employees e FULL JOIN chg c USING (plate_number)""", CHANGES)
+def _snk_authorized(t):
+    tables = registry(t, "snk-authorized")
+    new = changes(t)
+    sides = lambda: U.upsert_authorized(tables.read("vehicles"), tables.read("employees"), new)
+    twice(tables.change, 1, vehicles=lambda _: U.assign_ids(sides()[0], "plate_number"), employees=lambda _: U.assign_ids(sides()[1], "plate_number"))
+    cars = tables.read("vehicles").select(F.lit("vehicle").alias("kind"), "id", "plate_number", F.col("owner_name").alias("name"), F.col("vehicle_type").alias("department"), "status",
+                                          F.col("blacklist_reason").alias("detail"))
+    return cars.unionByName(tables.read("employees").select(F.lit("employee").alias("kind"), "id", "plate_number", F.col("full_name").alias("name"), "department",
+                                                            F.col("is_active").cast("string").alias("status"), F.col("employee_code").alias("detail")))
+
+
+@access("snk_upsert_blacklist", """SELECT coalesce(v.id, (SELECT max(id) FROM vehicles) + row_number() OVER (PARTITION BY v.id IS NULL ORDER BY plate_number)) AS id, plate_number,
+  coalesce(owner_name, 'Unknown') AS owner_name, coalesce(vehicle_type, 'unknown') AS vehicle_type,
+  CASE WHEN c.seq IS NULL THEN status ELSE 'BLACKLISTED' END AS status, CASE WHEN c.seq IS NULL THEN blacklist_reason ELSE 'r' || c.seq END AS blacklist_reason FROM vehicles v FULL JOIN chg c USING (plate_number)""", CHANGES)
+def _snk_blacklist(t):
+    tables = registry(t, "snk-blacklist")
+    new = changes(t).select(
         "seq", "plate_number", F.concat(F.lit("r"), F.col("seq").cast("string")).alias("reason"), F.lit("2024-02-01").cast("timestamp_ntz").alias("at"),
-        F.lit("").alias("owner_name"), F.lit(None).cast("string").alias("vehicle_type"))).select("plate_number", "owner_name", "vehicle_type", "status", "blacklist_reason"))
-access("snk_delete_unknown", "SELECT id FROM unknown_detections WHERE plate_number NOT IN (SELECT plate_number FROM employees)")(
-    lambda t: U.delete_unknown(t.unknown, t.employees.select(F.concat(F.lit(" "), F.lower("plate_number")).alias("plate_number"))).select("id"))
-access("snk_report", f"SELECT 'monthly' AS report_type, DATE '2024-01-01' AS start_date, total_employees, total_anomalies, first_arrival_name FROM ({SUMMARY})", *period_views(*JAN))(
-    lambda t: U.report_row(january(t).summary(), "monthly", date(2024, 1, 1), date(2024, 1, 31), "2024-02-01 08:00:00").select(
-        "report_type", "start_date", *[F.get_json_object("summary", f"$.{c}").cast("bigint").alias(c) for c in ("total_employees", "total_anomalies")],
-        F.get_json_object("summary", "$.first_arrival_name").alias("first_arrival_name")))
+        F.lit("").alias("owner_name"), F.lit(None).cast("string").alias("vehicle_type"))
+    twice(tables.change, 1, vehicles=lambda cars: U.assign_ids(U.upsert_blacklist(cars, new), "plate_number"))
+    return tables.read("vehicles").select("id", "plate_number", "owner_name", "vehicle_type", "status", "blacklist_reason")
+
+
+@access("snk_delete_unknown", "SELECT id FROM unknown_detections WHERE plate_number NOT IN (SELECT plate_number FROM employees)")
+def _snk_delete(t):
+    tables = registry(t, "snk-delete")
+    gone = t.employees.select(F.concat(F.lit(" "), F.lower("plate_number")).alias("plate_number"))
+    twice(tables.change, 1, unknown=lambda rows: U.delete_unknown(rows, gone))
+    return tables.read("unknown").select("id")
+
+
+REPORTS = "id long, report_type string, start_date date, end_date date, generated_at timestamp_ntz, file_name string, summary string, metadata string"
+
+
+@access("snk_report", f"""SELECT 1::BIGINT AS id, 'monthly' AS report_type, DATE '2024-01-01' AS start_date, total_employees, total_anomalies, first_arrival_name FROM ({SUMMARY})
+  UNION ALL SELECT 2, 'custom', DATE '2024-01-01', total_employees, total_anomalies, first_arrival_name FROM ({SUMMARY})""", *period_views(*JAN))
+def _snk_report(t):
+    """Two reports of one period are stored, the second one twice."""
+    tables = StoredTables(t.spark, run_folder(t.spark, "snk-report"), {"reports": REPORTS})
+    summary = materialize(january(t).summary(), "summary")
+    for number, kind in enumerate(("monthly", "custom")):
+        row = U.report_row(summary, kind, *PERIOD, "2024-02-01 08:00:00").withColumn("id", F.lit(number + 1))
+        twice(tables.append, number, reports=row)
+    return tables.read("reports").select(
+        "id", "report_type", "start_date", *[F.get_json_object("summary", f"$.{c}").cast("bigint").alias(c) for c in ("total_employees", "total_anomalies")],
+        F.get_json_object("summary", "$.first_arrival_name").alias("first_arrival_name"))
+
+
 access("fn_summary_json", f"SELECT strftime(first_arrival, '%Y-%m-%dT%H:%M:%S.%f') AS first_arrival, strftime(last_exit, '%Y-%m-%dT%H:%M:%S.%f') AS last_exit FROM ({SUMMARY})", *period_views(*JAN))(
     lambda t: U.report_row(january(t).summary(), "monthly", date(2024, 1, 1), date(2024, 1, 31), "2024-02-01 08:00:00").select(
         *[F.get_json_object("summary", f"$.{c}").alias(c) for c in ("first_arrival", "last_exit")]))
 NOW = lambda: F.lit("2024-04-01").cast("timestamp_ntz")
-docs("snk_review_upsert", """SELECT doc_id AS document_id, CASE WHEN k IS NOT NULL THEN 'validated' ELSE NULL END AS status, CASE WHEN k IS NULL THEN NULL WHEN doc_id % 4 = 3 THEN TIMESTAMP '2024-03-01' ELSE TIMESTAMP '2024-04-01' END AS created_at,
-  TIMESTAMP '2024-04-01' AS updated_at FROM (SELECT doc_id, k FROM wir UNION ALL SELECT doc_id, k FROM stm)""")(
-    lambda t: U.upsert_by_key(reviews(t), t.wires.select("doc_id").union(t.statements.select("doc_id")).select(
-        F.col("doc_id").alias("document_id"), F.lit("validated").alias("status"), F.lit("{}").alias("raw_extracted_fields")), "document_id", NOW()).select(
-        "document_id", "status", "created_at", "updated_at"))
-docs("snk_asset_upsert", """SELECT doc_id AS document_id, 'new_' || doc_id AS stored_file_name, 'heuristic' AS source, CASE WHEN doc_id % 4 = 3 THEN TIMESTAMP '2024-03-01' ELSE TIMESTAMP '2024-04-01' END AS created_at
-  FROM (SELECT doc_id FROM wir UNION ALL SELECT doc_id FROM stm)""")(
-    lambda t: U.upsert_by_key(
-        reviews(t).select("document_id", F.lit("old").alias("stored_file_name"), F.lit("upload").alias("source"), "created_at"),
-        t.wires.select("doc_id").union(t.statements.select("doc_id")).select(F.col("doc_id").alias("document_id"), F.concat(F.lit("new_"), F.col("doc_id").cast("string")).alias("stored_file_name"), F.lit("heuristic").alias("source")),
-        "document_id", NOW(), touched=None))
+REVIEWS = ("document_id long, raw_extracted_fields string, normalized_fields string, user_corrected_fields string, status string, "
+           "created_at timestamp_ntz, updated_at timestamp_ntz")
+
+
+@docs("snk_review_upsert", """SELECT doc_id AS document_id, CASE WHEN k IS NOT NULL THEN 'validated' ELSE NULL END AS status, CASE WHEN k IS NULL THEN NULL WHEN doc_id % 4 = 3 THEN TIMESTAMP '2024-03-01' ELSE TIMESTAMP '2024-04-01' END AS created_at,
+  TIMESTAMP '2024-04-01' AS updated_at FROM (SELECT doc_id, k FROM wir UNION ALL SELECT doc_id, k FROM stm)""")
+def _snk_review(t):
+    tables = StoredTables(t.spark, run_folder(t.spark, "snk-review"), {"reviews": REVIEWS})
+    tables.change(0, reviews=reviews(t))
+    rows = t.wires.select("doc_id").union(t.statements.select("doc_id")).select(
+        F.col("doc_id").alias("document_id"), F.lit("validated").alias("status"), F.lit("{}").alias("raw_extracted_fields"))
+    twice(tables.change, 1, reviews=lambda old: U.upsert_by_key(old, rows, "document_id", NOW()))
+    return tables.read("reviews").select("document_id", "status", "created_at", "updated_at")
+
+
+ASSETS = "document_id long, stored_file_name string, source string, created_at timestamp_ntz"
+
+
+@docs("snk_asset_upsert", """SELECT doc_id AS document_id, 'new_' || doc_id AS stored_file_name, 'heuristic' AS source, CASE WHEN doc_id % 4 = 3 THEN TIMESTAMP '2024-03-01' ELSE TIMESTAMP '2024-04-01' END AS created_at
+  FROM (SELECT doc_id FROM wir UNION ALL SELECT doc_id FROM stm)""")
+def _snk_asset(t):
+    tables = StoredTables(t.spark, run_folder(t.spark, "snk-asset"), {"assets": ASSETS})
+    tables.change(0, assets=reviews(t).select("document_id", F.lit("old").alias("stored_file_name"), F.lit("upload").alias("source"), "created_at"))
+    rows = t.wires.select("doc_id").union(t.statements.select("doc_id")).select(
+        F.col("doc_id").alias("document_id"), F.concat(F.lit("new_"), F.col("doc_id").cast("string")).alias("stored_file_name"), F.lit("heuristic").alias("source"))
+    twice(tables.change, 1, assets=lambda old: U.upsert_by_key(old, rows, "document_id", NOW(), touched=None))
+    return tables.read("assets")
+
+
 BATCH = """bi AS (SELECT o_custkey AS batch_id, o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'success' END AS status FROM orders),
 bs AS (SELECT batch_id, count(*) AS total_files, count(*) FILTER (status = 'success') AS success_count, count(*) FILTER (status <> 'success') AS failed_count,
   CASE WHEN bool_or(status <> 'success') THEN 'completed_with_errors' ELSE 'completed' END AS status FROM bi GROUP BY 1)"""
@@ -243,8 +338,22 @@ def batches(o):
     return U.batch_summary(o.select(F.col("o_custkey").alias("batch_id"), F.when(F.col("o_orderstatus") == "P", "failed").otherwise("success").alias("status")))
 
 
-for _key in ("agg_batch_summary", "snk_batch"):
-    table(_key, "orders", f"WITH {BATCH} SELECT * FROM bs")(batches)
+table("agg_batch_summary", "orders", f"WITH {BATCH} SELECT * FROM bs")(batches)
+
+
+@table("snk_batch", "orders", f"WITH {BATCH} SELECT bs.*, (SELECT count(*) FROM bi WHERE bi.batch_id = bs.batch_id) AS file_rows FROM bs")
+def _snk_batch(o):
+    """Files and summaries of all batches: one version holds both tables."""
+    tables = StoredTables(o.sparkSession, run_folder(o.sparkSession, "snk-batch"), {
+        "files": "batch_id long, file long, status string",
+        "batches": "batch_id long, total_files long, success_count long, failed_count long, status string"})
+    items = o.select(F.col("o_custkey").alias("batch_id"), F.col("o_orderkey").alias("file"),
+                     F.when(F.col("o_orderstatus") == "P", "failed").otherwise("success").alias("status"))
+    twice(tables.append, 0, files=items, batches=U.batch_summary(items))
+    counts = tables.read("files").groupBy("batch_id").agg(F.count("*").alias("file_rows"))
+    return tables.read("batches").join(counts, "batch_id")
+
+
 table("src_batches", "orders", f"WITH {BATCH} SELECT * FROM bs ORDER BY batch_id DESC LIMIT 20")(lambda o: batches(o).orderBy(F.desc("batch_id")).limit(20))
 
 # -- report history (one stored report per order) --------------------------------------------------------------

@@ -123,7 +123,10 @@ class AccessTables:
 
     @cached_property
     def unknown(self) -> DataFrame:
-        return self.detections.filter(F.col("status") == UNKNOWN).select(
+        return self.unknown_between(None, None)
+
+    def unknown_between(self, start: date | None, end: date | None) -> DataFrame:
+        return self.store.events(start, end).filter(F.col("status") == UNKNOWN).select(
             F.col("event_id").alias("id"), "plate_number", "image_path", "detected_at"
         )
 

@@ -69,6 +69,10 @@ class LogStore:
             still = still.filter(in_period(F.col("entry_time"), start or date.min, end or date(9998, 12, 31)))
         return self.ended(start, end).drop("entry_date").unionByName(still).select(*LOG_COLUMNS)
 
+    def events(self, start: date | None = None, end: date | None = None) -> DataFrame:
+        """The stored events of these days."""
+        return self.table.read("events", f"{EVENT}, day date", "day", start, end).drop("day")
+
     def duplicates(self) -> DataFrame:
         """Ids of logs that repeat the last kept one of their plate."""
         marked = self.ended().select("id", "is_duplicate").unionByName(self.state().select("log.id", "log.is_duplicate"))
