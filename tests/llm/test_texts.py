@@ -302,3 +302,19 @@ def test_licences(spark, edge_docs, no_docs):
     assert [(got[k].n_words, got[k].n_base, got[k].first_word, got[k].labels, got[k].score) for k in (2, 3)] == [(0, 0, None, "", 0.0)] * 2
     assert got[4].labels == "" and got[5].base_labels == "apache-2" and got[6].labels == ""
     assert licenses.scan(edge_docs).count() == edge_docs.count() and licenses.scan(no_docs).count() == 0
+
+
+def test_encoder_of_very_long_runs():
+    """Runs that would exhaust a stack are encoded by the other library; both agree where both can."""
+    from turnstone.llm.queries import tokenizer_path
+
+    encoder = packing.Encoder(tokenizer_path())
+    for unit in (" ", "\t", "\n", " \n"):
+        text = "start" + unit * (2_000_000 // len(unit)) + "end"
+        assert len(encoder.encode(text)) > 4_000
+        short = "start" + unit * (30_000 // len(unit)) + "end"
+        want = encoder.tokenizer.encode(short, add_special_tokens=False).ids
+        assert encoder.encode(short) == np.array(want, dtype="<u4").tobytes()
+    assert len(encoder.encode("a" * 2_000_000)) > 4_000
+    near = ("x" + " " * 999) * 2_000
+    assert encoder.encode(near) == np.array(encoder.fast.encode_ordinary(near), dtype="<u4").tobytes()

@@ -93,12 +93,18 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
         ways += 1
 
 
+#: White space in one run from which on `tiktoken` is not asked; shorter runs are far below what its stack holds.
+LONG_BLANK = 50_000
+BLANKS = re.compile(r"\s{1000,}+")
+
+
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes.
 
     The vocabulary file is read twice: by `tokenizers`, and as merge ranks by the faster `tiktoken`. The two differ at
     most where their tables of letters and white space do, so texts with characters other than those of `PLAIN` go to
-    `tokenizers`, all others to `tiktoken`; the tests hold both against each other.
+    `tokenizers`, all others to `tiktoken`; the tests hold both against each other. The pattern of `tiktoken` looks ahead
+    behind white space and keeps a stack for it, so texts with a very long run of white space go to `tokenizers` too.
     """
 
     def __init__(self, path: str):
@@ -116,13 +122,17 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if text.isascii() and not CONTROL.search(text) or not OTHER.search(text):
+        if not _long_blank(text) and (text.isascii() and not CONTROL.search(text) or not OTHER.search(text)):
             ids = self.fast.encode_ordinary(text)
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
 
+def _long_blank(text: str) -> bool:
+    return len(text) >= LONG_BLANK and any(len(run) >= LONG_BLANK for run in BLANKS.findall(text))
+
+
 def _byte_of_letter() -> dict[str, int]:
     """Byte-level vocabularies write printable bytes as themselves and the others as letters from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
