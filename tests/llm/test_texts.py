@@ -318,3 +318,13 @@ def test_encoder_of_very_long_runs():
     assert len(encoder.encode("a" * 2_000_000)) > 4_000
     near = ("x" + " " * 999) * 2_000
     assert encoder.encode(near) == np.array(encoder.fast.encode_ordinary(near), dtype="<u4").tobytes()
+
+
+def test_many_numbers_in_one_text(spark):
+    """Places of many matches, and many short numbers, in time that grows with the text."""
+    numbers = ", ".join(str(10 + k % 90) for k in range(100_000))
+    addresses = " ".join(f"10.1.{k % 256}.{k // 256 % 256}" for k in range(20_000))
+    docs = spark.createDataFrame([(1, numbers), (2, addresses), (3, "4111 1111 1111 1111 22, 4111-1111-1111-1111")], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in sanitise.base_spans(docs).select("doc_id", "spans").collect()}
+    assert got[1] == [] and [(s.start, s.end) for s in got[3]] == [(24, 43)]
+    assert all(addresses[s.start : s.end] == s.found for s in got[2]) and len(got[2]) == 20_000

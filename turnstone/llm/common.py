@@ -127,3 +127,17 @@ def slot_bytes(marks: DataFrame, slots: int) -> bytes:
 
 def slot_level(table_bytes: bytes, slot: Column) -> Column:
     return F.ascii(F.substring(F.lit(table_bytes), (slot + 1).cast("int"), F.lit(1)).cast("string"))
+
+
+def slot_table(marks: DataFrame, slots: int, name: str) -> Column:
+    """marks (slot, level 1 to 127), one row per marked slot -> an array with a level per slot, 1 where none is marked.
+
+    One row of fixed size, written once and brought to the tasks as a scalar subquery, so that plans hold no data. Look
+    it up with F.get; inside a lambda, bring it into a column first.
+    """
+    every = marks.sparkSession.range(slots, numPartitions=8).select(F.col("id").alias("slot"))
+    filled = every.join(marks, "slot", "left").select("slot", F.coalesce("level", F.lit(1)).cast("tinyint").alias("level"))
+    in_order = lambda rows, value: F.transform(F.sort_array(F.collect_list(rows)), lambda x: x[value])
+    blocks = filled.groupBy(F.shiftright("slot", 12).alias("block")).agg(in_order(F.struct("slot", "level"), "level").alias("part"))
+    whole = blocks.agg(F.flatten(in_order(F.struct("block", "part"), "part")).alias("levels"))
+    return stored(whole, name).scalar()

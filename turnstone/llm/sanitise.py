@@ -23,21 +23,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import slot_bytes, slot_level, stored
+from turnstone.functions.binding import let
+from turnstone.llm.common import slot_table, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The patterns of the contract. Possessive repeats and look-behinds only spare the engine repeated work:
-# a match can't begin inside a run whose first character could begin it.
+# a match can't begin inside a run whose first character could begin it. A run of fewer than 12 digits is no card.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?=(?:[0-9][\x20-]?){11}[0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must hold for a pattern to be tried at all.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 ABOVE_255 = r"(?:^|\.)0*+(?:[1-9][0-9]{3,}|2(?:5[6-9]|[6-9][0-9])|[3-9][0-9]{2})(?:\.|$)"
 SLOTS, MARK = 1 << 19, 2
+#: Matches whose places are worked out in one fold.
+CHUNK = 256
 CHANCE, BITS, SUPPORT, REMOVE = 0.5, 6.0, 3, 0.9
 NOT_LETTERS = r"[^\p{L}]+"
 
@@ -80,20 +83,36 @@ def _matches(kind: str, text: Column) -> Column:
     return found
 
 
+def _totals_before(lengths: Column) -> Column:
+    """Exclusive running sums of an array, in two levels: folds copy what they have, so each is kept short."""
+    none = F.array().cast("array<int>")
+
+    def fold(values: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), none.alias("out"))
+        return F.aggregate(values, first, lambda acc, x: F.struct(
+            (acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / F.lit(CHUNK)).cast("int")),
+                         lambda k: F.slice(lengths, k * CHUNK + 1, F.lit(CHUNK)))
+
+    def spread(found: Column) -> Column:
+        heads = fold(F.transform(found, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x)), F.lit(0))
+        return F.flatten(F.zip_with(found, heads, fold))
+
+    return let(pieces, spread)
+
+
 def _placed(gaps: Column, matches: Column, kind: Column) -> Column:
-    """(start, kind, end, found) of matches, from the texts between them."""
+    """(start, kind, end, found) of matches, from the texts between them; time grows with the number of matches."""
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>")
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(gaps, i))
-        found = F.get(matches, i)
-        end = start + F.length(found)
-        span = F.struct(start.alias("start"), kind.cast("int").alias("kind"), end.alias("end"), found.alias("found"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def spans(gap: Column) -> Column:
+        steps = F.transform(matches, lambda m, i: F.length(F.get(gap, i)) + F.length(m))
+        return let(_totals_before(steps), lambda before: F.transform(matches, lambda m, i: F.struct(
+            (F.get(before, i) + F.length(F.get(gap, i))).alias("start"), kind.cast("int").alias("kind"),
+            (F.get(before, i) + F.length(F.get(gap, i)) + F.length(m)).alias("end"), m.alias("found"))))
 
-    first = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), first, step, lambda acc: acc["spans"])
-    return F.when(F.size(matches) > 0, walked).otherwise(empty)
+    return F.when(F.size(matches) > 0, let(gaps, spans)).otherwise(empty)
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -120,13 +139,15 @@ def _slots(term: Column) -> tuple[Column, Column]:
     return h.bitwiseAND(F.lit(SLOTS - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(SLOTS - 1))
 
 
-def _marks(terms: DataFrame) -> tuple[bytes, ...]:
-    """One table per slot: a word that is none of the terms passes both rarely."""
-    return tuple(slot_bytes(terms.select(s.alias("slot")).distinct().withColumn("level", F.lit(MARK)), SLOTS) for s in _slots(F.col("term")))
+def _with_marks(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """rows with two tables of slots: a word that is none of the terms is marked in both rarely."""
+    one, two = (slot_table(terms.select(s.alias("slot")).distinct().withColumn("level", F.lit(MARK)), SLOTS, "marks")
+                for s in _slots(F.col("term")))
+    return rows.withColumns({"_one": one, "_two": two})
 
 
-def _marked(marks: tuple[bytes, ...], term: Column) -> Column:
-    one, two = (slot_level(m, s) == MARK for m, s in zip(marks, _slots(term), strict=True))
+def _marked(term: Column) -> Column:
+    one, two = (F.get(F.col(c), s.cast("int")) == MARK for c, s in zip(("_one", "_two"), _slots(term), strict=True))
     return one & two
 
 
@@ -143,9 +164,9 @@ def disclosing_terms(docs: DataFrame, with_spans: DataFrame, chance: float = CHA
     met = mentions.select("line", "entity", F.explode("terms").alias("term")).groupBy("entity", "term", "line").agg(F.count(F.lit(1)).alias("n"))
     both = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("n_te")).where(F.col("lines") >= support)
     both = stored(both, "both")
-    marks = _marks(both.select("term").distinct())
     total = lines.count()
-    words = lines.select(F.explode(_terms(F.col("line"))).alias("term")).where(_marked(marks, F.col("term")))
+    marked = _with_marks(lines, both.select("term").distinct())
+    words = marked.select(F.explode(F.filter(_terms(F.col("line")), _marked)).alias("term"))
     by_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     told = both.join(by_term, "term").join(by_entity, "entity").select(
         "term", (F.col("n_te") / F.col("n_t")).alias("chance"),
@@ -155,9 +176,8 @@ def disclosing_terms(docs: DataFrame, with_spans: DataFrame, chance: float = CHA
 
 def _term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, text_hash, term_spans): all places of disclosing terms; one row per document that has some."""
-    marks = _marks(terms)
-    own = F.filter(_terms(F.col("text")), lambda w: _marked(marks, w))
-    near = docs.select("doc_id", "text", own.alias("own")).where(F.size("own") > 0)
+    own = F.filter(_terms(F.col("text")), _marked)
+    near = _with_marks(docs.select("doc_id", "text"), terms).select("doc_id", "text", own.alias("own")).where(F.size("own") > 0)
     # one pass over a text for all its marked words
     rx = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("own", "|"), F.lit(r")(?!\p{L})"))
     found = near.withColumn("matches", F.regexp_extract_all("text", rx, F.lit(0)))
