@@ -129,15 +129,20 @@ def slot_level(table_bytes: bytes, slot: Column) -> Column:
     return F.ascii(F.substring(F.lit(table_bytes), (slot + 1).cast("int"), F.lit(1)).cast("string"))
 
 
-def slot_table(marks: DataFrame, slots: int, name: str) -> Column:
-    """marks (slot, level 1 to 127), one row per marked slot -> an array with a level per slot, 1 where none is marked.
+def slot_bits(marked: DataFrame, slots: int, name: str) -> Column:
+    """marked (slot) -> an array of longs with a bit per slot, set where it is marked: ask has_slot().
 
-    One row of fixed size, written once and brought to the tasks as a scalar subquery, so that plans hold no data. Look
-    it up with F.get; inside a lambda, bring it into a column first.
+    One row of fixed size (slots / 8 bytes), written once and brought to the tasks as a scalar subquery, so that plans hold
+    no data. A lambda takes no subquery: there, bring it into a column first, which is copied with rows.
     """
-    every = marks.sparkSession.range(slots, numPartitions=8).select(F.col("id").alias("slot"))
-    filled = every.join(marks, "slot", "left").select("slot", F.coalesce("level", F.lit(1)).cast("tinyint").alias("level"))
-    in_order = lambda rows, value: F.transform(F.sort_array(F.collect_list(rows)), lambda x: x[value])
-    blocks = filled.groupBy(F.shiftright("slot", 12).alias("block")).agg(in_order(F.struct("slot", "level"), "level").alias("part"))
-    whole = blocks.agg(F.flatten(in_order(F.struct("block", "part"), "part")).alias("levels"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
+    words = marked.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    every = marked.sparkSession.range(slots // 64, numPartitions=8).select(F.col("id").alias("word")).join(words, "word", "left")
+    filled = every.select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    whole = filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bits"))
     return stored(whole, name).scalar()
+
+
+def has_slot(bits: Column, slot: Column) -> Column:
+    word = F.get(bits, F.shiftright(slot, 6).cast("int"))
+    return F.call_function("shiftrightunsigned", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1

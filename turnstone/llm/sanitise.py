@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnstone.functions.binding import let
-from turnstone.llm.common import slot_table, stored
+from turnstone.llm.common import has_slot, slot_bits, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The patterns of the contract. Possessive repeats and look-behinds only spare the engine repeated work:
@@ -38,7 +38,7 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried at all.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 ABOVE_255 = r"(?:^|\.)0*+(?:[1-9][0-9]{3,}|2(?:5[6-9]|[6-9][0-9])|[3-9][0-9]{2})(?:\.|$)"
-SLOTS, MARK = 1 << 19, 2
+SLOTS = 1 << 19
 #: Matches whose places are worked out in one fold.
 CHUNK = 256
 CHANCE, BITS, SUPPORT, REMOVE = 0.5, 6.0, 3, 0.9
@@ -139,15 +139,13 @@ def _slots(term: Column) -> tuple[Column, Column]:
     return h.bitwiseAND(F.lit(SLOTS - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(SLOTS - 1))
 
 
-def _with_marks(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """rows with two tables of slots: a word that is none of the terms is marked in both rarely."""
-    one, two = (slot_table(terms.select(s.alias("slot")).distinct().withColumn("level", F.lit(MARK)), SLOTS, "marks")
-                for s in _slots(F.col("term")))
-    return rows.withColumns({"_one": one, "_two": two})
+def _marks(terms: DataFrame) -> list[Column]:
+    """Two tables of slots: a word that is none of the terms is marked in both rarely."""
+    return [slot_bits(terms.select(s.alias("slot")), SLOTS, "marks") for s in _slots(F.col("term"))]
 
 
-def _marked(term: Column) -> Column:
-    one, two = (F.get(F.col(c), s.cast("int")) == MARK for c, s in zip(("_one", "_two"), _slots(term), strict=True))
+def _marked(marks: list[Column], term: Column) -> Column:
+    one, two = (has_slot(m, s) for m, s in zip(marks, _slots(term), strict=True))
     return one & two
 
 
@@ -165,8 +163,7 @@ def disclosing_terms(docs: DataFrame, with_spans: DataFrame, chance: float = CHA
     both = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("n_te")).where(F.col("lines") >= support)
     both = stored(both, "both")
     total = lines.count()
-    marked = _with_marks(lines, both.select("term").distinct())
-    words = marked.select(F.explode(F.filter(_terms(F.col("line")), _marked)).alias("term"))
+    words = lines.select(F.explode(_terms(F.col("line"))).alias("term")).where(_marked(_marks(both), F.col("term")))
     by_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     told = both.join(by_term, "term").join(by_entity, "entity").select(
         "term", (F.col("n_te") / F.col("n_t")).alias("chance"),
@@ -176,8 +173,10 @@ def disclosing_terms(docs: DataFrame, with_spans: DataFrame, chance: float = CHA
 
 def _term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, text_hash, term_spans): all places of disclosing terms; one row per document that has some."""
-    own = F.filter(_terms(F.col("text")), _marked)
-    near = _with_marks(docs.select("doc_id", "text"), terms).select("doc_id", "text", own.alias("own")).where(F.size("own") > 0)
+    one, two = _marks(terms)
+    with_marks = docs.select("doc_id", "text", one.alias("one"), two.alias("two"))
+    own = F.filter(_terms(F.col("text")), lambda w: _marked([F.col("one"), F.col("two")], w))
+    near = with_marks.select("doc_id", "text", own.alias("own")).where(F.size("own") > 0)
     # one pass over a text for all its marked words
     rx = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("own", "|"), F.lit(r")(?!\p{L})"))
     found = near.withColumn("matches", F.regexp_extract_all("text", rx, F.lit(0)))
