@@ -146,6 +146,18 @@ def test_week_report(spark):
     assert counts == {"entry_without_exit": 1, "unknown_plates": 1}
 
 
+def test_orphan_exits_of_the_period(spark):
+    logs = _logs(spark, [("A", None, at("10:00", 2), "AUTHORIZED"), ("A", None, at("11:00", 2), "AUTHORIZED"), ("A", None, at("10:00", 9), "AUTHORIZED"), ("B", at("09:00", 2), None, "AUTHORIZED")])
+    people = spark.createDataFrame([(1, "Ann", "A", "IT", "E1", True), (2, "Bob", "B", "IT", "E2", True)],
+                                   "id long, full_name string, plate_number string, department string, employee_code string, is_active boolean")
+    none = spark.createDataFrame([], "id long, plate_number string, image_path string, detected_at timestamp_ntz")
+    cars = spark.createDataFrame([], "id long, plate_number string, owner_name string, vehicle_type string, status string")
+    report = PresenceReport(logs, none, people, cars, date(2024, 1, 1), date(2024, 1, 5))
+    assert {r.kind: r.n for r in report.anomaly_counts().collect()} == {"orphan_exit": 2, "entry_without_exit": 1}
+    labels = {(r.plate_number, r.day, r.label): (r.n, r.first_at) for r in report.day_labels().collect()}
+    assert labels[("A", date(2024, 1, 2), "orphan_exit")] == (2, at("10:00", 2)) and len(labels) == 2
+
+
 def test_report_period_errors():
     assert report_period("weekly", year=2024, week=3) == (date(2024, 1, 15), date(2024, 1, 21))
     for kind, given in (("daily", {}), ("custom", dict(start_date=date(2024, 2, 1), end_date=date(2024, 1, 1))), ("other", {})):

@@ -39,7 +39,10 @@ def is_late(first_entry: Column, cutoff_minutes: int) -> Column:
 
 
 class PresenceReport:
-    """Lazy frames of one report; each property is one flat table of the nested report."""
+    """One report; each property is one flat table of the nested report.
+
+    The period's logs are written when the report is made, and again with their duplicate marks; the rest is lazy.
+    """
 
     def __init__(
         self,
@@ -60,7 +63,7 @@ class PresenceReport:
         self.unknown = unknown.filter(in_period(F.col("detected_at"), start, end))
         self.marked = materialize(mark_duplicates(inside, rules.dedup_minutes), "marked-logs")
         self.kept = self.marked.filter(~F.col("is_duplicate"))
-        self.orphans = logs.filter(F.col("entry_time").isNull() & F.col("exit_time").isNotNull())
+        self.orphans = logs.filter(F.col("entry_time").isNull() & in_period(F.col("exit_time"), start, end))
 
     # -- anomalies ---------------------------------------------------------------------------
     def flagged(self) -> DataFrame:
@@ -106,10 +109,10 @@ class PresenceReport:
         kind = F.col("kind")
         for old, new in label.items():
             kind = F.when(kind == old, new).otherwise(kind)
-        rows = self.flagged().select("plate_number", F.to_date("entry_time").alias("day"),
-                                     kind.alias("label"), "entry_time")
-        return rows.groupBy("plate_number", "day", "label").agg(
-            F.count("*").alias("n"), F.min("entry_time").alias("first_at")
+        seen = self.flagged().select("plate_number", kind.alias("label"), F.col("entry_time").alias("at"))
+        left = self.orphans.filter("plate_number <> ''").select("plate_number", F.lit("orphan_exit").alias("label"), F.col("exit_time").alias("at"))
+        return seen.unionByName(left).groupBy("plate_number", F.to_date("at").alias("day"), "label").agg(
+            F.count("*").alias("n"), F.min("at").alias("first_at")
         )
 
     # -- people ------------------------------------------------------------------------------
