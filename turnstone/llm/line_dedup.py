@@ -1,4 +1,4 @@
-"""Line dedup by an exact set-similarity join.
+"""Line dedup by an exact set-similarity join, in DataFrame functions only.
 
 A line's set holds its distinct lower-cased words between ASCII white space. A line is
 removed if an earlier line, by (doc_id, line number), has a Jaccard similarity of `similarity` (0.8) or more, whether
@@ -7,20 +7,16 @@ or not that line was removed itself; of equal sets the first stays. Lines withou
 
 Method
 ------
-1. Word counts, by 2^23 hash slots, give every word a rarity level: a table of fixed size (8 MB) that goes to the tasks as
-   a broadcast variable. Each line's words are ordered by (level, hash), rarest first.
+1. Word counts, by 2^20 hash slots, give every word one of 126 rarity levels: a table of fixed size, written as one row
+   and read by the tasks as a scalar subquery. Each line's words are ordered by (level, hash), rarest first.
 2. Equal sets become one row with their first position.
-3. Of |x| words, two sets that are similar enough share one of the first |x| - ceil(s |x|) + 1 (prefix filter). Words that
-   stand once in the corpus join nothing and are left out there. Lines
-   meet by an equi-join on prefix words, under the length filter, the positional filter (what can still overlap before
-   and behind the shared word) and the parity filter: each word flips one of 256 bits, and two words more in the
+3. Of |x| words, two sets that are similar enough share one of the first |x| - ceil(s |x|) + 1 (prefix filter), where
+   words that stand once in the corpus can be left out. Lines meet by an equi-join on prefix words, under the length filter, the positional filter (what can still overlap before
+   and behind the shared word) and the parity filter: each word flips one of 128 bits, and two words more in the
    symmetric difference flip at most two bits more.
 4. Large families of variants would meet in all pairs, so each line first meets the first and the previous line of
    two groups, those with the same three smallest and the same three largest word hashes; what this removes only stays as a partner.
-5. Pairs that pass are verified on the whole sets of words (64-bit hashes), read from the texts again.
-
-Words are cut, hashed and ordered in Arrow batches (array functions alone took two thirds of the time allowed for the
-whole operator); everything else is joins and groups.
+5. Pairs that pass are verified on the whole sets of words, read from the texts again.
 
 Rules: null and empty texts have one empty line, which stays. A null doc_id counts as smaller than all others. A doc_id
 names one document: rows that repeat it take equal positions and do not remove each other's lines. Columns besides
@@ -29,187 +25,93 @@ doc_id and text pass through or aren't read; an empty table gives an empty resul
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from decimal import Decimal
 from fractions import Fraction
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import has_slot, mixed, slot_bits, stored, word_hashes
-
-#: Slots of the table of word counts, and how many of them one row holds on the way.
-SLOTS, BLOCK = 1 << 23, 1 << 15
-#: Slots of the table of lines to read again.
-LINE_SLOTS = 1 << 22
-#: Words that are worked on at once.
-CHUNK = 1 << 19
-MIN_WORDS = 1
-PARITY = ["p0", "p1", "p2", "p3"]
-LINE_SCHEMA = ("doc_id long, line_no int, n int, high long, low long, lowest long, highest long, "
-               "p0 long, p1 long, p2 long, p3 long, prefix array<long>, places array<int>")
-SECOND = np.uint64(0xD6E8FEB86659FD93)
-
-
-def _lines(batches: Iterator[pa.RecordBatch], wanted: Callable | None = None) -> Iterator[tuple]:
-    """Batches (doc_id, text) -> (doc_ids, line numbers, words per line, words), some half million words at a time."""
-    ids, numbers, counts, words = [], [], [], []
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if not text:
-                continue
-            lines = text.lower().encode("utf-8", "surrogatepass").split(b"\n")
-            for k in range(len(lines)) if wanted is None else wanted(doc, len(lines)):
-                own = lines[k].split()
-                if own:
-                    ids.append(doc)
-                    numbers.append(k)
-                    counts.append(len(own))
-                    words += own
-                    if len(words) >= CHUNK:
-                        yield ids, numbers, np.array(counts), words
-                        ids, numbers, counts, words = [], [], [], []
-    if words:
-        yield ids, numbers, np.array(counts), words
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many words of a task fall into each slot, as far as 65,535: one row per block of slots."""
-    counts = np.zeros(SLOTS, dtype=np.uint32)
-    for _, _, _, words in _lines(batches):
-        slots, n = np.unique(word_hashes(words) % np.uint64(SLOTS), return_counts=True)
-        counts[slots.astype(np.int64)] += n.astype(np.uint32)
-    filled = np.flatnonzero(counts)
-    n = np.minimum(counts[filled], 65535).astype(np.uint16)
-    cuts = np.searchsorted(filled, np.arange(0, SLOTS + 1, BLOCK))
-    rows = [(b, (filled[x:y] % BLOCK).astype(np.uint16).tobytes(), n[x:y].tobytes())
-            for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-    if rows:
-        block, slots, sums = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(slots, pa.binary()), pa.array(sums, pa.binary())],
-                                         ["block", "slots", "n"])
-
-
-def _levels_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the counts of each block: 0 for slots with at most one word, else 4 * log2 of their words."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, slots, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            total = sums.setdefault(block, np.zeros(BLOCK, dtype=np.int64))
-            total[np.frombuffer(slots, np.uint16)] += np.frombuffer(n, np.uint16)
-    if sums:
-        levels = [np.minimum(126, 4 * np.log2(np.maximum(x, 1))).astype(np.uint8).tobytes() for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["block", "levels"])
-
-
-def rarity_levels(docs: DataFrame) -> np.ndarray:
-    """One level from 0 to 126 per hash slot, from the words of the whole corpus."""
-    counted = docs.mapInArrow(_count_words, "block int, slots binary, n binary")
-    rows = counted.repartition("block").mapInArrow(_levels_of_blocks, "block int, levels binary").collect()  # 256 rows at most
-    levels = np.zeros(SLOTS, dtype=np.uint8)
-    for r in rows:
-        levels[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.levels, np.uint8)
-    return levels
-
-
-def _sum_of_sets(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, starts).view(np.int64)
-
-
-def _distinct(order_by: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of each line's distinct values in their order, and the line of each."""
-    order = np.lexsort((order_by, line))
-    v, at = order_by[order], line[order]
-    first = np.ones(len(v), dtype=bool)
-    first[1:] = (v[1:] != v[:-1]) | (at[1:] != at[:-1])
-    return order[first], at[first]
-
-
-def _ids_of_sets(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each set of hashes, whatever their order."""
-    return _sum_of_sets(mixed(hashes), starts), _sum_of_sets(mixed(hashes ^ SECOND), starts)
-
-
-def _line_rows(levels, s: Fraction, min_words: int) -> Callable:
-    """Batches of texts -> LINE_SCHEMA.
-
-    prefix: the words of the prefix filter that stand more than once in the corpus, places: where they stand in the order;
-    n: distinct words; lowest and highest: the three smallest and largest word hashes as keys; high, low: hash of the set.
-    """
+from turnstone.llm.common import has_slot, slot_bits, stored
+
+SLOTS, MIN_WORDS = 1 << 20, 1
+#: The level of slots in which one word of the corpus fell.
+SINGLE = 5
+PARITY = ["p0", "p1"]
+#: Places for line numbers below the document in a position.
+LINES = 1 << 40
+
+
+def _words(text: Column) -> Column:
+    """Lower-cased words at single blanks; other white space is turned into blanks first, where there is any."""
+    other = [F.lit(c) for c in "\t\x0b\x0c\r\n"]
+    odd = reduce(lambda x, y: x | y, (F.contains(text, c) for c in other))
+    return F.split(F.lower(F.when(odd, F.translate(text, "\t\x0b\x0c\r\n", " " * 5)).otherwise(text)), " ")
+
+
+def _slot(word_hash: Column) -> Column:
+    return word_hash.bitwiseAND(F.lit(SLOTS - 1))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = levels.value
-        for ids, numbers, counts, words in _lines(batches):
-            h = word_hashes(words)
-            level = table[(h % np.uint64(SLOTS)).astype(np.int64)]
-            key = (level.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
-            kept, at = _distinct(key, np.repeat(np.arange(len(ids)), counts))
-            h, key, level = h[kept], key[kept].view(np.int64), level[kept]
-            n = np.bincount(at, minlength=len(ids))
-            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-            high, low = _ids_of_sets(h, starts)
-            bit = (mixed(h ^ np.uint64(5)) & np.uint64(255)).astype(np.int64)
-            flips = np.uint64(1) << (bit & 63).astype(np.uint64)
-            parity = [np.bitwise_xor.reduceat(np.where(bit >> 6 == k, flips, np.uint64(0)), starts).view(np.int64) for k in range(4)]
-            by_hash = np.lexsort((h, at))  # each line's hashes in order, so that its ends are the smallest and largest
-            ordered = h[by_hash]
-            ends = [_ends(ordered, starts, n, last) for last in (False, True)]
-            place = np.arange(len(at)) - starts[at]
-            size = n - -(-n * s.numerator // s.denominator) + 1
-            unequal = n * (s.denominator - s.numerator) >= s.numerator
-            used = (place < size[at]) & unequal[at] & (level > 0)
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(at[used], minlength=len(ids)))]).astype(np.int32)
-            rows = pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(n.astype(np.int32)), pa.array(high), pa.array(low),
-                *map(pa.array, ends), *map(pa.array, parity),
-                pa.ListArray.from_arrays(offsets, pa.array(key[used])), pa.ListArray.from_arrays(offsets, pa.array(place[used].astype(np.int32)))],
-                [c.split()[0] for c in LINE_SCHEMA.split(", ")])
-            yield rows if min_words <= 1 else rows.filter(pa.array(n >= min_words))
-
-    return work
-
-
-def _ends(ordered: np.ndarray, starts: np.ndarray, n: np.ndarray, last: bool) -> np.ndarray:
-    """A key of the three smallest or largest hashes of each line."""
-    total = np.zeros(len(n), dtype=np.uint64)
-    for k in range(3):
-        at = np.where(last, np.maximum(n - 1 - k, 0), np.minimum(k, n - 1)) + starts
-        total = mixed(total + ordered[at])
-    return total.view(np.int64)
-
-
-def _line_place(doc_id, line_no):
-    """A slot of a line's place, alike for columns and numpy values."""
-    return ((doc_id % LINE_SLOTS + LINE_SLOTS) % LINE_SLOTS * 40503 + line_no * 15731) % LINE_SLOTS
-
-
-def _marked_words(marks) -> Callable:
-    """Batches of texts -> (high, low, words) of the lines whose place is marked; words: sorted distinct hashes."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = marks.value
-
-        def wanted(doc, size):
-            slots = _line_place(doc or 0, np.arange(size))
-            return np.flatnonzero((table[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1)).tolist()
-
-        for ids, _, counts, words in _lines(batches, wanted):
-            h = word_hashes(words)
-            kept, at = _distinct(h, np.repeat(np.arange(len(ids)), counts))
-            h, n = h[kept], np.bincount(at, minlength=len(ids))
-            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-            high, low = _ids_of_sets(h, starts)
-            offsets = np.append(starts, len(h)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64)))],
-                                             ["high", "low", "words"])
-
-    return work
+
+def rarity_levels(docs: DataFrame) -> Column:
+    """An array with a number from 1 to 126 per hash slot: 4 * log2 of how many words of the corpus fell there."""
+    words = docs.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("word")).where("word <> ''")
+    counts = words.groupBy(_slot(F.xxhash64("word")).alias("slot")).count()
+    level = F.least(F.lit(126), 1 + F.floor(4 * F.log2(F.col("count") + 1)))
+    every = docs.sparkSession.range(SLOTS, numPartitions=8).select(F.col("id").alias("slot"))
+    filled = every.join(counts, "slot", "left").select("slot", F.coalesce(level, F.lit(1)).cast("byte").alias("level"))
+
+    def gathered(rows: DataFrame, key: str, value: str, by: list[Column]) -> DataFrame:
+        in_order = F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value])
+        return rows.groupBy(*by).agg(in_order.alias("levels"))
+
+    blocks = gathered(filled, "slot", "level", [F.shiftright("slot", 12).alias("block")])
+    whole = gathered(blocks, "block", "levels", [])
+    return stored(whole.select(F.flatten("levels").alias("levels")), "levels").scalar()
 
 
 def _position(doc_id: Column, line_no: Column) -> Column:
     """Orders lines by (doc_id, line number); null ids first."""
-    return F.struct(doc_id.isNotNull().alias("named"), F.coalesce(doc_id, F.lit(0)).alias("doc"), line_no.alias("line_no"))
+    doc = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(Decimal(-(1 << 63) - 1)).cast("decimal(20,0)"))
+    return (doc * F.lit(LINES).cast("decimal(13,0)") + line_no.cast("decimal(13,0)")).cast("decimal(38,0)")
+
+
+def line_sets(docs: DataFrame, levels: Column, s: Fraction) -> DataFrame:
+    """(doc_id, line_no, prefix, n, p0, p1, lowest, highest, high, low) of all lines with words.
+
+    prefix: hashes of the rarest words, as many as the prefix filter needs, null for words that stand once in the corpus;
+    n: distinct words; p0 and p1: parity bits; lowest and highest: the three smallest and largest word hashes as keys;
+    high, low: hash of the set.
+    """
+    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line")).where(
+        F.col("line").rlike(r"[^\x20\x09-\x0D]"))  # has words: told by the text, as a filter on the keys would work them out twice
+    # used once behind here, so that the subquery ends up inside the lambda and no row carries the table
+    words = lines.select("doc_id", "line_no", F.array_remove(_words(F.col("line")), "").alias("words"), levels.alias("levels"))
+
+    def key(word: Column) -> Column:
+        h = F.xxhash64(word)
+        level = F.get(F.col("levels"), _slot(h).cast("int")).cast("long")
+        return F.shiftleft(level, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+
+    keyed = words.select("doc_id", "line_no", F.transform("words", key).alias("keys"))
+    sized = keyed.select("doc_id", "line_no", F.sort_array(F.array_distinct("keys")).alias("keys"))
+    n = F.size("keys")
+    hashed = sized.select(
+        "doc_id", "line_no", F.transform("keys", lambda k: F.hash(k)).alias("words"), n.alias("n"), F.xxhash64("keys").alias("high"),
+        F.xxhash64(F.lit(1), "keys").alias("low"),
+        F.transform(F.slice("keys", F.lit(1), _prefix_length(n, s)), lambda k: F.when(F.shiftright(k, 56) > SINGLE, F.hash(k))).alias("prefix"))
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w)  # noqa: E731  a shift reads the last six bits
+    half = lambda k: F.aggregate("words", F.lit(0).cast("long"), lambda p, w: F.when(
+        F.shiftright(w, 8).bitwiseAND(F.lit(1)) == k, p.bitwiseXOR(bit(w))).otherwise(p))
+    order = F.sort_array("words")
+    return hashed.select(
+        "doc_id", "line_no", "prefix", "n", *(half(k).alias(c) for k, c in enumerate(PARITY)),
+        F.xxhash64(F.slice(order, 1, 3)).alias("lowest"),
+        F.xxhash64(F.slice(order, F.greatest(F.lit(1), F.col("n") - 2), F.lit(3))).alias("highest"), "high", "low")
+
+
+def _prefix_length(n: Column, s: Fraction) -> Column:
+    return (n - F.floor((n * s.numerator + (s.denominator - 1)) / F.lit(s.denominator)) + 1).cast("int")
 
 
 def _least_overlap(n_x: Column, n_y: Column, s: Fraction) -> Column:
@@ -232,24 +134,24 @@ def _possible(x: str, y: str, n: Column, m: Column, s: Fraction) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, s: Fraction, name: str) -> DataFrame:
     """(line) of the later lines of pairs (line, other) whose whole sets of words are similar enough."""
-    spark = docs.sparkSession
     pairs = stored(pairs.distinct(), f"{name}-pairs")
-    lines = pairs.select("line").union(pairs.select("other")).distinct()
-    wanted = stored(lines.join(sets.select("line", "high", "low", "at"), "line"), f"{name}-lines")
-    place = _line_place(F.col("at.doc"), F.col("at.line_no").cast("long"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
-    marked = wanted.select(place.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    table = np.zeros(LINE_SLOTS // 64, dtype=np.uint64)
-    for r in marked.collect():  # at most LINE_SLOTS / 64 numbers
-        table[r.word] = r.bits & 0xFFFFFFFFFFFFFFFF
-    found = docs.mapInArrow(_marked_words(spark.sparkContext.broadcast(table)), "high long, low long, words array<long>")
-    one = stored(found.join(wanted, ["high", "low"]).select("line", "at", "words").dropDuplicates(["line"]), f"{name}-words")
+    wanted = pairs.select("line").union(pairs.select("other")).distinct().join(
+        sets.select("line", "doc_id", "line_no"), "line")
+    wanted = stored(wanted, f"{name}-lines")
+    place = _slot(F.xxhash64("doc_id", "line_no"))
+    marks = slot_bits(wanted.select(place.alias("slot")), SLOTS, f"{name}-places")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text")).where(
+        has_slot(marks, place))  # only wanted lines are shuffled
+    own = wanted.select("line", F.col("line_no").alias("_no"), F.col("doc_id").alias("_id"))
+    words = F.array_remove(F.array_distinct(_words(F.col("text"))), "")
+    met = lines.join(own, lines["doc_id"].eqNullSafe(own["_id"]) & (lines["line_no"] == own["_no"]))
+    found = met.select("line", _position(F.col("doc_id"), F.col("line_no")).alias("at"), words.alias("words"))
+    one = stored(found.dropDuplicates(["line"]), f"{name}-words")
     two = one.toDF("other", "at_y", "words_y")
     both = F.size(F.array_intersect("words", "words_y"))
     either = F.size("words") + F.size("words_y") - both
     met = pairs.join(one, "line").join(two, "other").where(both * s.denominator >= either * s.numerator)
-    later = F.when(F.col("at") > F.col("at_y"), F.col("line")).when(F.col("at_y") > F.col("at"), F.col("other"))
-    return met.select(later.alias("line")).where("line is not null").distinct()
+    return met.select(F.when(F.col("at") > F.col("at_y"), F.col("line")).otherwise(F.col("other")).alias("line")).distinct()
 
 
 def _neighbours(sets: DataFrame, s: Fraction) -> DataFrame:
@@ -270,9 +172,9 @@ def _prefix_pairs(sets: DataFrame, gone: DataFrame, s: Fraction) -> DataFrame:
     Lines that are gone carry a negative n; both sides of the join read the same shuffle.
     """
     marked = sets.join(gone.select("line", F.lit(-1).alias("sign")), "line", "left")
-    rows = marked.where(_has_unequal(s) & (F.size("prefix") > 0)).select(
-        F.posexplode("prefix").alias("k", "word"), "places", "line", (F.col("n") * F.coalesce("sign", F.lit(1))).alias("n"), *PARITY)
-    rows = rows.select("word", F.get("places", F.col("k")).alias("i"), "line", "n", *PARITY)
+    rows = marked.where(_has_unequal(s)).select(
+        F.posexplode("prefix").alias("i", "word"), "line", (F.col("n") * F.coalesce("sign", F.lit(1))).alias("n"), *PARITY)
+    rows = rows.where("word is not null")
     x, y = rows.alias("x"), rows.alias("y")
     n_x, n_y = F.abs("x.n"), F.abs("y.n")
     met = x.join(y, F.col("x.word") == F.col("y.word")).where(
@@ -285,18 +187,17 @@ def _prefix_pairs(sets: DataFrame, gone: DataFrame, s: Fraction) -> DataFrame:
 def removals(docs: DataFrame, similarity: float = 0.8, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line_no) of the lines to remove, one row each, line numbers from 0."""
     s = Fraction(similarity).limit_denominator(100)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    levels = docs.sparkSession.sparkContext.broadcast(rarity_levels(texts))
-    lines = stored(texts.mapInArrow(_line_rows(levels, s, min_words), LINE_SCHEMA), "lines")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    lines = stored(line_sets(texts, rarity_levels(texts), s).where(F.col("n") >= min_words), "lines")
     at = _position(F.col("doc_id"), F.col("line_no"))
-    same = ["n", "lowest", "highest", *PARITY, "prefix", "places"]  # alike in all lines of a class
-    classes = lines.groupBy("high", "low").agg(F.min(at).alias("at"), *(F.first(c).alias(c) for c in same))
-    sets = stored(classes.withColumn("line", F.monotonically_increasing_id()), "sets")
+    firsts = lines.groupBy("high", "low").agg(F.min(at).alias("at"))
+    heads = lines.join(firsts, ["high", "low"]).where(at == F.col("at"))
+    sets = stored(heads.withColumn("line", F.monotonically_increasing_id()), "sets")
     early = stored(_verified(_neighbours(sets, s), sets, texts, s, "early"), "early")
     late = _verified(_prefix_pairs(sets, early, s), sets, texts, s, "late")
     gone = early.unionByName(late).distinct().withColumn("gone", F.lit(True))
-    met = lines.select("doc_id", "line_no", "high", "low").join(
-        sets.join(gone, "line", "left").select("high", "low", "at", "gone"), ["high", "low"])
+    classes = sets.join(gone, "line", "left").groupBy("high", "low").agg(F.min("at").alias("at"), F.max("gone").alias("gone"))
+    met = lines.select("doc_id", "line_no", "high", "low").join(classes, ["high", "low"])
     return met.where(F.coalesce("gone", F.lit(False)) | (at > F.col("at"))).select("doc_id", "line_no").distinct()
 
 
@@ -306,16 +207,16 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = MIN_W
     A document that loses all its lines stays with an empty text.
     """
     out = removals(docs, similarity, min_words)
-    # at most one number for each line of the document itself, as keys of a map: a text is cut in one pass over its lines
-    numbers = F.sort_array(F.collect_list("line_no"))
+    # at most one number for each line of the document itself; a text is cut in one pass over its lines
+    numbers = F.sort_array(F.collect_list(F.col("line_no").cast("int")))
     cuts = stored(out.groupBy(F.col("doc_id").alias("_cut_id")).agg(numbers.alias("_cut_lines")), "cuts")
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(LINE_SLOTS))
-    bits = slot_bits(cuts.select(place(F.col("_cut_id")).alias("slot")), LINE_SLOTS, "cut-places")
-    marked = has_slot(bits, place(docs["doc_id"].cast("long")))
+    place = lambda c: _slot(F.xxhash64(c))
+    bits = slot_bits(cuts.select(place(F.col("_cut_id")).alias("slot")), SLOTS, "cut-places")
+    marked = has_slot(bits, place(docs["doc_id"]))
     text = docs["text"].cast("string")
     cut = F.when(F.col("_cut_lines").isNull(), text).otherwise(_without(text, F.col("_cut_lines"))).alias("text")
     number = [F.coalesce(F.size("_cut_lines"), F.lit(0)).alias(count)] if count else []
-    joined = docs.where(marked).join(cuts, docs["doc_id"].cast("long").eqNullSafe(cuts["_cut_id"]), "left")
+    joined = docs.where(marked).join(cuts, docs["doc_id"].eqNullSafe(cuts["_cut_id"]), "left")
     touched = joined.select(*(cut if c == "text" else docs[c] for c in docs.columns), *number)
     rest = docs.where(~marked).select(  # these are not shuffled
         *(text.alias(c) if c == "text" else docs[c] for c in docs.columns), *([F.lit(0).alias(count)] if count else []))
