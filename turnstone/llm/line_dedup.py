@@ -12,20 +12,21 @@ Method
 2. Equal sets become one row with their first position.
 3. Of |x| words, two sets that are similar enough share one of the first |x| - ceil(s |x|) + 1 (prefix filter), where
    words that stand once in the corpus can be left out. Lines meet by an equi-join on prefix words, under the length filter, the positional filter (what can still overlap before
-   and behind the shared word) and the parity filter: each word flips one of 128 bits, and two words more in the
+   and behind the shared word) and the parity filter: each word flips one of 64 bits, of 256 in lines above 48 words, and two words more in the
    symmetric difference flip at most two bits more.
 4. Large families of variants would meet in all pairs, so each line first meets the first and the previous line of
-   two groups, those with the same three smallest and the same three largest word hashes; what this removes only stays as a partner.
+   two groups, those with the same three smallest and the same three largest word hashes. What this removes meets no
+   earlier line again and only stays as a partner of later ones.
 5. Pairs that pass are verified on the whole sets of words, read from the texts again.
 
-Rules: null and empty texts have one empty line, which stays. A null doc_id counts as smaller than all others. A doc_id
-names one document: rows that repeat it take equal positions and do not remove each other's lines. Columns besides
+Rules: null and empty texts have one empty line, which stays. A null doc_id counts as -2^63, the smallest. A doc_id
+names one document: rows that repeat it take equal positions, do not remove each other's lines, and where their sets at
+a place differ, these are judged together. Columns besides
 doc_id and text pass through or aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
 from fractions import Fraction
 from functools import reduce
 
@@ -37,16 +38,20 @@ from turnstone.llm.common import has_slot, slot_bits, stored
 SLOTS, MIN_WORDS = 1 << 20, 1
 #: The level of slots in which one word of the corpus fell.
 SINGLE = 5
-PARITY = ["p0", "p1"]
-#: Places for line numbers below the document in a position.
-LINES = 1 << 40
+#: parity: a bit per word of the whole line, flipped; q1 to q3: those of three quarters of the words, for long lines.
+PARITY = ["parity", "q1", "q2", "q3"]
+#: Up to so many words 64 bits tell lines apart.
+SHORT = 48
+#: The place of a line, in order.
+PLACE = ["doc", "line_no"]
 
 
 def _words(text: Column) -> Column:
     """Lower-cased words at single blanks; other white space is turned into blanks first, where there is any."""
     other = [F.lit(c) for c in "\t\x0b\x0c\r\n"]
     odd = reduce(lambda x, y: x | y, (F.contains(text, c) for c in other))
-    return F.split(F.lower(F.when(odd, F.translate(text, "\t\x0b\x0c\r\n", " " * 5)).otherwise(text)), " ")
+    plain = reduce(lambda x, c: F.replace(x, c, F.lit(" ")), other, text)
+    return F.split(F.lower(F.when(odd, plain).otherwise(text)), " ")
 
 
 def _slot(word_hash: Column) -> Column:
@@ -70,17 +75,16 @@ def rarity_levels(docs: DataFrame) -> Column:
     return stored(whole.select(F.flatten("levels").alias("levels")), "levels").scalar()
 
 
-def _position(doc_id: Column, line_no: Column) -> Column:
-    """Orders lines by (doc_id, line number); null ids first."""
-    doc = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(Decimal(-(1 << 63) - 1)).cast("decimal(20,0)"))
-    return (doc * F.lit(LINES).cast("decimal(13,0)") + line_no.cast("decimal(13,0)")).cast("decimal(38,0)")
+def _doc() -> Column:
+    """Orders documents; null ids come first."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc")
 
 
 def line_sets(docs: DataFrame, levels: Column, s: Fraction) -> DataFrame:
-    """(doc_id, line_no, prefix, n, p0, p1, lowest, highest, high, low) of all lines with words.
+    """(doc_id, line_no, prefix, n, parity, q1, q2, q3, lowest, highest, high, low) of all lines with words.
 
     prefix: hashes of the rarest words, as many as the prefix filter needs, null for words that stand once in the corpus;
-    n: distinct words; p0 and p1: parity bits; lowest and highest: the three smallest and largest word hashes as keys;
+    n: distinct words; lowest and highest: the three smallest and largest word hashes as keys;
     high, low: hash of the set.
     """
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line")).where(
@@ -101,11 +105,16 @@ def line_sets(docs: DataFrame, levels: Column, s: Fraction) -> DataFrame:
         F.xxhash64(F.lit(1), "keys").alias("low"),
         F.transform(F.slice("keys", F.lit(1), _prefix_length(n, s)), lambda k: F.when(F.shiftright(k, 56) > SINGLE, F.hash(k))).alias("prefix"))
     bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w)  # noqa: E731  a shift reads the last six bits
-    half = lambda k: F.aggregate("words", F.lit(0).cast("long"), lambda p, w: F.when(
-        F.shiftright(w, 8).bitwiseAND(F.lit(1)) == k, p.bitwiseXOR(bit(w))).otherwise(p))
+    none = F.lit(0).cast("long")
+    flipped = F.aggregate("words", none, lambda p, w: p.bitwiseXOR(bit(w)))
+
+    def quarter(k: int) -> Column:
+        mine = lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(3)) == k
+        return F.when(F.col("n") > SHORT, F.aggregate("words", none, lambda p, w: F.when(mine(w), p.bitwiseXOR(bit(w))).otherwise(p)))
+
     order = F.sort_array("words")
     return hashed.select(
-        "doc_id", "line_no", "prefix", "n", *(half(k).alias(c) for k, c in enumerate(PARITY)),
+        "doc_id", "line_no", "prefix", "n", flipped.alias("parity"), *(quarter(k).alias(f"q{k}") for k in (1, 2, 3)),
         F.xxhash64(F.slice(order, 1, 3)).alias("lowest"),
         F.xxhash64(F.slice(order, F.greatest(F.lit(1), F.col("n") - 2), F.lit(3))).alias("highest"), "high", "low")
 
@@ -128,77 +137,76 @@ def _has_unequal(s: Fraction) -> Column:
 def _possible(x: str, y: str, n: Column, m: Column, s: Fraction) -> Column:
     """The length and parity filters between the columns of x and y, which are prefixes of their names."""
     sized = F.least(n, m) * s.denominator >= F.greatest(n, m) * s.numerator
-    apart = sum((F.bit_count(F.col(f"{x}{p}").bitwiseXOR(F.col(f"{y}{p}"))) for p in PARITY), F.lit(0))
+    whole, *parts = (F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")) for c in PARITY)
+    quarters = [reduce(lambda a, b: a.bitwiseXOR(b), parts, whole), *parts]
+    apart = F.coalesce(reduce(lambda a, b: a + b, map(F.bit_count, quarters)), F.bit_count(whole))
     return sized & (apart <= n + m - 2 * _least_overlap(n, m, s))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, s: Fraction, name: str) -> DataFrame:
-    """(line) of the later lines of pairs (line, other) whose whole sets of words are similar enough."""
+def _verified(pairs: DataFrame, docs: DataFrame, s: Fraction, name: str) -> DataFrame:
+    """(doc, line_no) of the lines of pairs (doc, line_no, met) whose whole sets of words are similar enough to the line met."""
     pairs = stored(pairs.distinct(), f"{name}-pairs")
-    wanted = pairs.select("line").union(pairs.select("other")).distinct().join(
-        sets.select("line", "doc_id", "line_no"), "line")
-    wanted = stored(wanted, f"{name}-lines")
-    place = _slot(F.xxhash64("doc_id", "line_no"))
-    marks = slot_bits(wanted.select(place.alias("slot")), SLOTS, f"{name}-places")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text")).where(
-        has_slot(marks, place))  # only wanted lines are shuffled
-    own = wanted.select("line", F.col("line_no").alias("_no"), F.col("doc_id").alias("_id"))
-    words = F.array_remove(F.array_distinct(_words(F.col("text"))), "")
-    met = lines.join(own, lines["doc_id"].eqNullSafe(own["_id"]) & (lines["line_no"] == own["_no"]))
-    found = met.select("line", _position(F.col("doc_id"), F.col("line_no")).alias("at"), words.alias("words"))
-    one = stored(found.dropDuplicates(["line"]), f"{name}-words")
-    two = one.toDF("other", "at_y", "words_y")
-    both = F.size(F.array_intersect("words", "words_y"))
-    either = F.size("words") + F.size("words_y") - both
-    met = pairs.join(one, "line").join(two, "other").where(both * s.denominator >= either * s.numerator)
-    return met.select(F.when(F.col("at") > F.col("at_y"), F.col("line")).otherwise(F.col("other")).alias("line")).distinct()
+    wanted = pairs.select(*PLACE).union(pairs.select("met.*")).distinct()
+    marks = slot_bits(wanted.select(_slot(F.xxhash64(*PLACE)).alias("slot")), SLOTS, f"{name}-places")
+    lines = docs.select(_doc(), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line")).where(
+        has_slot(marks, _slot(F.xxhash64(*PLACE))))  # only wanted lines are shuffled
+    words = F.array_sort(F.array_remove(F.array_distinct(_words(F.col("line"))), "")).alias("words")
+    one = stored(lines.join(wanted, PLACE).select(*PLACE, words).distinct(), f"{name}-words")
+    two = one.select(F.struct(*PLACE).alias("met"), F.col("words").alias("other"))
+    both = F.size(F.array_intersect("words", "other"))
+    either = F.size("words") + F.size("other") - both
+    return pairs.join(one, PLACE).join(two, "met").where(both * s.denominator >= either * s.numerator).select(*PLACE).distinct()
 
 
 def _neighbours(sets: DataFrame, s: Fraction) -> DataFrame:
     """Pairs of each line with the first and the previous line of its two groups."""
     key = F.explode(F.array("lowest", "highest")).alias("key")
-    rows = sets.where(_has_unequal(s)).select(key, "line", "n", *PARITY)
-    order = Window.partitionBy("key").orderBy("line")
-    me = F.struct("line", "n", *PARITY)
-    met = rows.select("line", "n", *PARITY, F.array(F.first(me).over(order), F.lag(me).over(order)).alias("met"))
-    flat = met.select("line", "n", *PARITY, F.explode("met").alias("y")).where("y is not null and y.line <> line")
+    rows = sets.where(_has_unequal(s)).select(key, *PLACE, "n", *PARITY)
+    order = Window.partitionBy("key").orderBy(*PLACE)
+    me = F.struct(*PLACE, "n", *PARITY)
+    met = rows.select(*PLACE, "n", *PARITY, F.array(F.first(me).over(order), F.lag(me).over(order)).alias("met"))
+    flat = met.select(*PLACE, "n", *PARITY, F.explode("met").alias("y")).where("y is not null").where(
+        F.struct("y.doc", "y.line_no") < F.struct(*PLACE))
     near = _possible("", "y.", F.col("n"), F.col("y.n"), s)
-    return flat.where(near).select("line", F.col("y.line").alias("other"))
+    return flat.where(near).select(*PLACE, F.struct("y.doc", "y.line_no").alias("met"))
 
 
 def _prefix_pairs(sets: DataFrame, gone: DataFrame, s: Fraction) -> DataFrame:
-    """Pairs of lines that aren't gone with any lines that share a prefix word and pass all filters.
+    """Pairs of lines that aren't gone with any earlier lines that share a prefix word and pass all filters.
 
-    Lines that are gone carry a negative n; both sides of the join read the same shuffle.
+    Lines that are gone carry a negative n; no condition is on one side alone, so both sides read the same shuffle.
     """
-    marked = sets.join(gone.select("line", F.lit(-1).alias("sign")), "line", "left")
+    marked = sets.join(gone.select(*PLACE, F.lit(-1).alias("sign")), PLACE, "left")
     rows = marked.where(_has_unequal(s)).select(
-        F.posexplode("prefix").alias("i", "word"), "line", (F.col("n") * F.coalesce("sign", F.lit(1))).alias("n"), *PARITY)
+        F.posexplode("prefix").alias("i", "word"), *PLACE, (F.col("n") * F.coalesce("sign", F.lit(1))).alias("n"), *PARITY)
     rows = rows.where("word is not null")
     x, y = rows.alias("x"), rows.alias("y")
     n_x, n_y = F.abs("x.n"), F.abs("y.n")
+    earlier = (F.col("y.doc") < F.col("x.doc")) | ((F.col("y.doc") == F.col("x.doc")) & (F.col("y.line_no") < F.col("x.line_no")))
     met = x.join(y, F.col("x.word") == F.col("y.word")).where(
-        (F.greatest("x.n", "y.n") > 0) & (F.col("x.line") < F.col("y.line"))
-        & (F.least("x.i", "y.i") + F.least(n_x - F.col("x.i"), n_y - F.col("y.i")) >= _least_overlap(n_x, n_y, s))
-        & _possible("x.", "y.", n_x, n_y, s))
-    return met.select(F.col("x.line").alias("line"), F.col("y.line").alias("other"))
+        (F.least(F.col("x.n"), n_y) > 0) & earlier & _possible("x.", "y.", n_x, n_y, s)
+        & (F.least("x.i", "y.i") + F.least(n_x - F.col("x.i"), n_y - F.col("y.i")) >= _least_overlap(n_x, n_y, s)))
+    return met.select("x.doc", "x.line_no", F.struct("y.doc", "y.line_no").alias("met"))
 
 
 def removals(docs: DataFrame, similarity: float = 0.8, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line_no) of the lines to remove, one row each, line numbers from 0."""
     s = Fraction(similarity).limit_denominator(100)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    lines = stored(line_sets(texts, rarity_levels(texts), s).where(F.col("n") >= min_words), "lines")
-    at = _position(F.col("doc_id"), F.col("line_no"))
-    firsts = lines.groupBy("high", "low").agg(F.min(at).alias("at"))
-    heads = lines.join(firsts, ["high", "low"]).where(at == F.col("at"))
-    sets = stored(heads.withColumn("line", F.monotonically_increasing_id()), "sets")
-    early = stored(_verified(_neighbours(sets, s), sets, texts, s, "early"), "early")
-    late = _verified(_prefix_pairs(sets, early, s), sets, texts, s, "late")
-    gone = early.unionByName(late).distinct().withColumn("gone", F.lit(True))
-    classes = sets.join(gone, "line", "left").groupBy("high", "low").agg(F.min("at").alias("at"), F.max("gone").alias("gone"))
+    found = line_sets(texts, rarity_levels(texts), s)
+    # every line there has a word; a filter on n works out the keys a second time
+    lines = stored(found.where(F.col("n") >= min_words) if min_words > 1 else found, "lines")
+    # copies meet before the shuffle; all else is the same in equal sets
+    firsts = lines.groupBy("high", "low").agg(F.min(F.struct(_doc(), "line_no")).alias("at"), *(
+        F.first(c).alias(c) for c in ("prefix", "n", *PARITY, "lowest", "highest")))
+    sets = stored(firsts.select("at.*", "prefix", "n", *PARITY, "lowest", "highest", "high", "low"), "sets")
+    early = stored(_verified(_neighbours(sets, s), texts, s, "early"), "early")
+    late = _verified(_prefix_pairs(sets, early, s), texts, s, "late")
+    gone = early.unionByName(late).withColumn("gone", F.lit(True))
+    classes = sets.select(F.struct(*PLACE).alias("at"), *PLACE, "high", "low").join(gone, PLACE, "left").select(
+        "high", "low", "at", F.coalesce("gone", F.lit(False)).alias("gone"))
     met = lines.select("doc_id", "line_no", "high", "low").join(classes, ["high", "low"])
-    return met.where(F.coalesce("gone", F.lit(False)) | (at > F.col("at"))).select("doc_id", "line_no").distinct()
+    return met.where(F.col("gone") | (F.struct(_doc(), "line_no") > F.col("at"))).select("doc_id", "line_no").distinct()
 
 
 def dedup_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = MIN_WORDS, count: str | None = None) -> DataFrame:
