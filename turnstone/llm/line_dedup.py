@@ -12,7 +12,7 @@ Method
 2. Equal sets become one row with their first position.
 3. Of |x| words, two sets that are similar enough share one of the first |x| - ceil(s |x|) + 1 (prefix filter), where
    words that stand once in the corpus can be left out. Lines meet by an equi-join on prefix words, under the length filter, the positional filter (what can still overlap before
-   and behind the shared word) and the parity filter: each word flips one of 64 bits, of 256 in lines above 48 words, and two words more in the
+   and behind the shared word) and the parity filter: each word flips one of 64 bits, of 128 in lines above 64 words and 256 above 128, and two words more in the
    symmetric difference flip at most two bits more.
 4. Large families of variants would meet in all pairs, so each line first meets the first and the previous line of
    two groups, those with the same three smallest and the same three largest word hashes. What this removes meets no
@@ -38,10 +38,10 @@ from turnstone.llm.common import has_slot, slot_bits, stored
 SLOTS, MIN_WORDS = 1 << 20, 1
 #: The level of slots in which one word of the corpus fell.
 SINGLE = 5
-#: parity: a bit per word of the whole line, flipped; q1 to q3: those of three quarters of the words, for long lines.
-PARITY = ["parity", "q1", "q2", "q3"]
-#: Up to so many words 64 bits tell lines apart.
-SHORT = 48
+#: 64 bits that words flip: of the whole line, of half its words, of two quarters, one in each half.
+PARITY = ["parity", "half", "q2", "q3"]
+#: Lines above so many words have the half, and the quarters.
+HALVED, QUARTERED = 64, 128
 #: The place of a line, in order.
 PLACE = ["doc", "line_no"]
 
@@ -81,7 +81,7 @@ def _doc() -> Column:
 
 
 def line_sets(docs: DataFrame, levels: Column, s: Fraction) -> DataFrame:
-    """(doc_id, line_no, prefix, n, parity, q1, q2, q3, lowest, highest, high, low) of all lines with words.
+    """(doc_id, line_no, prefix, n, parity, half, q2, q3, lowest, highest, high, low) of all lines with words.
 
     prefix: hashes of the rarest words, as many as the prefix filter needs, null for words that stand once in the corpus;
     n: distinct words; lowest and highest: the three smallest and largest word hashes as keys;
@@ -108,13 +108,14 @@ def line_sets(docs: DataFrame, levels: Column, s: Fraction) -> DataFrame:
     none = F.lit(0).cast("long")
     flipped = F.aggregate("words", none, lambda p, w: p.bitwiseXOR(bit(w)))
 
-    def quarter(k: int) -> Column:
-        mine = lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(3)) == k
-        return F.when(F.col("n") > SHORT, F.aggregate("words", none, lambda p, w: F.when(mine(w), p.bitwiseXOR(bit(w))).otherwise(p)))
+    def part(above: int, bits: int, value: int) -> Column:
+        mine = lambda w: w.bitwiseAND(F.lit(bits)) == value
+        return F.when(F.col("n") > above, F.aggregate("words", none, lambda p, w: F.when(mine(w), p.bitwiseXOR(bit(w))).otherwise(p)))
 
+    parts = [part(HALVED, 64, 64), part(QUARTERED, 192, 128), part(QUARTERED, 192, 192)]
     order = F.sort_array("words")
     return hashed.select(
-        "doc_id", "line_no", "prefix", "n", flipped.alias("parity"), *(quarter(k).alias(f"q{k}") for k in (1, 2, 3)),
+        "doc_id", "line_no", "prefix", "n", *(c.alias(name) for name, c in zip(PARITY, [flipped, *parts], strict=True)),
         F.xxhash64(F.slice(order, 1, 3)).alias("lowest"),
         F.xxhash64(F.slice(order, F.greatest(F.lit(1), F.col("n") - 2), F.lit(3))).alias("highest"), "high", "low")
 
@@ -137,9 +138,10 @@ def _has_unequal(s: Fraction) -> Column:
 def _possible(x: str, y: str, n: Column, m: Column, s: Fraction) -> Column:
     """The length and parity filters between the columns of x and y, which are prefixes of their names."""
     sized = F.least(n, m) * s.denominator >= F.greatest(n, m) * s.numerator
-    whole, *parts = (F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")) for c in PARITY)
-    quarters = [reduce(lambda a, b: a.bitwiseXOR(b), parts, whole), *parts]
-    apart = F.coalesce(reduce(lambda a, b: a + b, map(F.bit_count, quarters)), F.bit_count(whole))
+    whole, half, q2, q3 = (F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")) for c in PARITY)
+    both = F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))
+    four = [q3, half.bitwiseXOR(q3), q2, whole.bitwiseXOR(half).bitwiseXOR(q2)]
+    apart = F.coalesce(reduce(lambda a, b: a + b, map(F.bit_count, four)), both, F.bit_count(whole))
     return sized & (apart <= n + m - 2 * _least_overlap(n, m, s))
 
 
