@@ -228,6 +228,14 @@ def test_reshard(spark, edge_docs, no_docs, tmp_path):
     assert back.count() == 501 and back.where("text = 'new'").select("shard").distinct().collect()[0].shard == 1
 
 
+def test_rewrite_empties_a_shard_that_lost_all_rows(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    rewrite(spark.createDataFrame([(1, "a", 0), (2, "b", 1), (3, "c", 2)], "doc_id long, text string, shard int"), path, [0, 1, 2])
+    rewrite(spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "doc_id long, text string, shard int"), path, [0, 1])
+    back = [(r.doc_id, r.text, r.shard) for r in spark.read.parquet(path).collect()]
+    assert sorted(back) == [(1, "a", 0), (2, "b", 0), (3, "c", 2)]
+
+
 def test_reshard_of_rows_without_an_old_shard(spark, tmp_path):
     given = [(k, "x" * (k % 37), (0, 1, 2, None, 7, -1)[k % 6]) for k in range(300)]
     docs = spark.createDataFrame(given, "doc_id long, text string, old int")

@@ -116,6 +116,12 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
 
 
 def rewrite(docs: DataFrame, path: str, affected: list[int]) -> None:
-    """Rewrites the folders of the affected shards, docs carrying a `shard` column; other shards' files stay."""
+    """Rewrites the folders of the affected shards, docs carrying a `shard` column; other shards' files stay.
+
+    An affected shard that has no rows any more is left with an empty file.
+    """
     mine = docs.where(F.col("shard").isin(affected))
     mine.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    filled = {r.shard for r in mine.select("shard").distinct().collect()}  # at most one row per affected shard
+    for shard in sorted(set(affected) - filled):
+        mine.where(F.lit(False)).drop("shard").write.mode("overwrite").parquet(f"{path}/shard={shard}")
