@@ -1,12 +1,18 @@
 """Cases of the second round: deep payloads, labels cut by position, white space before a cut."""
 
 import json
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from turnstone.functions.text import truncate
+from turnstone.operators.layout import line_ids
 from turnstone.operators.payload import leaves, nesting
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def test_payload_of_any_depth(spark):
     deep, width = "end", 20
@@ -26,3 +32,43 @@ def test_payload_of_any_depth(spark):
 def test_truncate_drops_all_white_space(spark):
     text = spark.createDataFrame([("ab \t cdef",)], "t string")
     assert text.select(truncate(F.col("t"), 5, "+").alias("x")).first().x == "ab+"
+
+
+def _joins(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"(Broadcast\w*Join|SortMergeJoin) \[.*?(Inner|LeftOuter|LeftSemi|LeftAnti)", plan)
+
+
+@pytest.mark.parametrize("key", ["doc_qa_lookup", "doc_qa_normalize"])
+def test_answers_gather_nothing_on_the_driver(spark, key):
+    assert {kind for kind, _ in _joins(queries()[key](spark, SMALL))} == {"SortMergeJoin"}
+
+
+def test_review_boxes_gather_documents_only(spark):
+    found = _joins(queries()["doc_review_bbox_merge"](spark, SMALL))
+    assert found and {how for kind, how in found if kind != "SortMergeJoin"} <= {"LeftSemi"}
+
+
+@pytest.mark.parametrize("key", ["win_table_rows", "win_column_ranges"])
+def test_columns_gather_nothing_on_the_driver(spark, key):
+    assert {kind for kind, _ in _joins(queries()[key](spark, SMALL))} == {"SortMergeJoin"}
+
+
+def test_clusters_need_no_join(spark):
+    assert _joins(queries()["win_cluster_y_mean"](spark, SMALL)) == []
+
+
+def test_field_to_line_moves_every_line_once(spark):
+    plan = queries()["jn_field_to_line"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "BroadcastHashJoin" not in plan
+
+
+def test_line_ids_share_a_first_place(spark):
+    rows = [(1, 1, 5, "a", 1, 0, 0), (1, 1, 5, "b", 1, 0, 1), (1, 1, 9, "c", 1, 0, 2)]
+    found = line_ids(spark.createDataFrame(rows, "doc_id long, page int, seq int, text string, block_num int, par_num int, line_num int"))
+    assert {r.text: r.line_id for r in found.collect()} == {"a": 1, "b": 1, "c": 2}
+
+
+@pytest.mark.parametrize("key", ["win_line_ids", "win_line_offset"])
+def test_lines_gather_nothing_on_the_driver(spark, key):
+    assert {kind for kind, _ in _joins(queries()[key](spark, SMALL))} == {"SortMergeJoin"}
