@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from turnstone.functions.text import truncate
+from turnstone.operators import matching
 from turnstone.operators.layout import line_ids
+from turnstone.operators.matching import contained_names
 from turnstone.operators.payload import leaves, nesting
 
 SMALL = "/root/testdata/sf0.001"
@@ -72,3 +74,33 @@ def test_line_ids_share_a_first_place(spark):
 @pytest.mark.parametrize("key", ["win_line_ids", "win_line_offset"])
 def test_lines_gather_nothing_on_the_driver(spark, key):
     assert {kind for kind, _ in _joins(queries()[key](spark, SMALL))} == {"SortMergeJoin"}
+
+
+def test_names_of_any_length(spark):
+    names = ["Al", "Customer#000000017", "Customer#000000018", "Customer#0000000", "x" * 700, "Sales", "Unseen name"]
+    texts = {1: "ou est customer#000000018 ?", 2: "al et sales", 3: "x" * 701, 4: "customer#00000001", 5: "", 6: "rien"}
+    found = contained_names(spark.createDataFrame(list(texts.items()), "k long, norm string"), spark.createDataFrame([(n,) for n in names], "name string"), "k")
+    assert {r.k: r.name for r in found.collect()} == {1: "Customer#000000018", 2: "Sales", 3: "x" * 700, 4: "Customer#0000000"}
+    nothing = contained_names(spark.createDataFrame([(1, "a")], "k long, norm string"), spark.createDataFrame([], "name string"), "k")
+    assert nothing.collect() == []
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_a_text_meets_few_names(spark, monkeypatch, few):
+    monkeypatch.setattr(matching, "FEW_NAMES", few)
+    names = spark.range(3000).select(F.format_string("Customer#%09d", "id").alias("name"))
+    texts = spark.range(3000).select("id", F.format_string("qui est customer#%09d ?", "id").alias("norm"))
+    found = contained_names(texts, names, "id")
+    assert found.filter(F.col("name") == F.format_string("Customer#%09d", "id")).count() == 3000
+    plan = found._jdf.queryExecution().executedPlan()
+    assert ("BroadcastHashJoin" in plan.toString()) == (few > 0)
+
+
+def test_documents_are_routed_once(spark):
+    plan = queries()["src_documents"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and "routed-" in plan
+
+
+def test_anchors_fold_a_line_once(spark):
+    plan = queries()["fn_looks_like_anchor"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("com.ibm.icu.text.Normalizer") <= 3
