@@ -14,9 +14,9 @@ Method
    words that stand once in the corpus can be left out. Lines meet by an equi-join on prefix words, under the length filter, the positional filter (what can still overlap before
    and behind the shared word) and the parity filter: each word flips one of 64 bits, of 128 in lines above 64 words and 256 above 128, and two words more in the
    symmetric difference flip at most two bits more.
-4. Large families of variants would meet in all pairs, so each line first meets the first and the previous line of
-   two groups, those with the same three smallest and the same three largest word hashes. What this removes meets no
-   earlier line again and only stays as a partner of later ones.
+4. Large families of variants would meet in all pairs, so each line first meets the first line and the sixteen
+   before it of four groups: those with the same three smallest, three largest, three smallest positive and three largest negative
+   word hashes. What this removes meets no earlier line again and only stays as a partner of later ones.
 5. Pairs that pass are verified on the whole sets of words, read from the texts again.
 
 Rules: null and empty texts have one empty line, which stays. A null doc_id counts as -2^63, the smallest. A doc_id
@@ -40,6 +40,10 @@ SLOTS, MIN_WORDS = 1 << 20, 1
 SINGLE = 5
 #: 64 bits that words flip: of the whole line, of half its words, of two quarters, one in each half.
 PARITY = ["parity", "half", "q2", "q3"]
+#: Keys of the groups in which a line meets two others first.
+GROUPS = ["lowest", "highest", "above", "below"]
+#: How many lines right before it a line meets there, besides the first one.
+MET_BEFORE = 16
 #: Lines above so many words have the half, and the quarters.
 HALVED, QUARTERED = 64, 128
 #: The place of a line, in order.
@@ -81,10 +85,11 @@ def _doc() -> Column:
 
 
 def line_sets(docs: DataFrame, levels: Column, s: Fraction) -> DataFrame:
-    """(doc_id, line_no, prefix, n, parity, half, q2, q3, lowest, highest, high, low) of all lines with words.
+    """(doc_id, line_no, prefix, n, parity, half, q2, q3, lowest, highest, above, below, high, low) of all lines with words.
 
     prefix: hashes of the rarest words, as many as the prefix filter needs, null for words that stand once in the corpus;
-    n: distinct words; lowest and highest: the three smallest and largest word hashes as keys;
+    n: distinct words; lowest and highest: the three smallest and largest word hashes as keys; above and below: the three
+    next to zero on either side, null where there are fewer;
     high, low: hash of the set.
     """
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line")).where(
@@ -114,10 +119,14 @@ def line_sets(docs: DataFrame, levels: Column, s: Fraction) -> DataFrame:
 
     parts = [part(HALVED, 64, 64), part(QUARTERED, 192, 128), part(QUARTERED, 192, 192)]
     order = F.sort_array("words")
+    positive = F.filter(order, lambda w: w >= 0)
+    negative = F.col("n") - F.size(positive)
     return hashed.select(
         "doc_id", "line_no", "prefix", "n", *(c.alias(name) for name, c in zip(PARITY, [flipped, *parts], strict=True)),
         F.xxhash64(F.slice(order, 1, 3)).alias("lowest"),
-        F.xxhash64(F.slice(order, F.greatest(F.lit(1), F.col("n") - 2), F.lit(3))).alias("highest"), "high", "low")
+        F.xxhash64(F.slice(order, F.greatest(F.lit(1), F.col("n") - 2), F.lit(3))).alias("highest"),
+        F.when(F.size(positive) >= 3, F.xxhash64(F.lit(2), F.slice(positive, 1, 3))).alias("above"),
+        F.when(negative >= 3, F.xxhash64(F.lit(3), F.slice(order, F.greatest(F.lit(1), negative - 2), F.lit(3)))).alias("below"), "high", "low")
 
 
 def _prefix_length(n: Column, s: Fraction) -> Column:
@@ -161,12 +170,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, s: Fraction, name: str) -> Data
 
 
 def _neighbours(sets: DataFrame, s: Fraction) -> DataFrame:
-    """Pairs of each line with the first and the previous line of its two groups."""
-    key = F.explode(F.array("lowest", "highest")).alias("key")
-    rows = sets.where(_has_unequal(s)).select(key, *PLACE, "n", *PARITY)
+    """Pairs of each line with the first and the last lines before it of its groups."""
+    key = F.explode(F.array(*GROUPS)).alias("key")
+    rows = sets.where(_has_unequal(s)).select(key, *PLACE, "n", *PARITY).where("key is not null")
     order = Window.partitionBy("key").orderBy(*PLACE)
     me = F.struct(*PLACE, "n", *PARITY)
-    met = rows.select(*PLACE, "n", *PARITY, F.array(F.first(me).over(order), F.lag(me).over(order)).alias("met"))
+    before = [F.first(me).over(order), *(F.lag(me, k).over(order) for k in range(1, MET_BEFORE + 1))]
+    met = rows.select(*PLACE, "n", *PARITY, F.when(F.lag("n").over(order).isNotNull(), F.array(*before)).alias("met"))  # most stand alone
     flat = met.select(*PLACE, "n", *PARITY, F.explode("met").alias("y")).where("y is not null").where(
         F.struct("y.doc", "y.line_no") < F.struct(*PLACE))
     near = _possible("", "y.", F.col("n"), F.col("y.n"), s)
@@ -179,14 +189,17 @@ def _prefix_pairs(sets: DataFrame, gone: DataFrame, s: Fraction) -> DataFrame:
     Lines that are gone carry a negative n; no condition is on one side alone, so both sides read the same shuffle.
     """
     marked = sets.join(gone.select(*PLACE, F.lit(-1).alias("sign")), PLACE, "left")
+    words = F.arrays_zip(F.col("prefix").alias("word"), F.concat(F.array(F.lit(None).cast("int")), "prefix").alias("before"))
     rows = marked.where(_has_unequal(s)).select(
-        F.posexplode("prefix").alias("i", "word"), *PLACE, (F.col("n") * F.coalesce("sign", F.lit(1))).alias("n"), *PARITY)
-    rows = rows.where("word is not null")
+        F.posexplode(words).alias("i", "w"), *PLACE, (F.col("n") * F.coalesce("sign", F.lit(1))).alias("n"), *PARITY)
+    rows = rows.where("w.word is not null").select("i", "w.word", "w.before", *PLACE, "n", *PARITY)
     x, y = rows.alias("x"), rows.alias("y")
     n_x, n_y = F.abs("x.n"), F.abs("y.n")
     earlier = (F.col("y.doc") < F.col("x.doc")) | ((F.col("y.doc") == F.col("x.doc")) & (F.col("y.line_no") < F.col("x.line_no")))
+    # two lines with the same word before this one meet there, too, and with the same bound by position
+    starts = F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
     met = x.join(y, F.col("x.word") == F.col("y.word")).where(
-        (F.least(F.col("x.n"), n_y) > 0) & earlier & _possible("x.", "y.", n_x, n_y, s)
+        starts & (F.least(F.col("x.n"), n_y) > 0) & earlier & _possible("x.", "y.", n_x, n_y, s)
         & (F.least("x.i", "y.i") + F.least(n_x - F.col("x.i"), n_y - F.col("y.i")) >= _least_overlap(n_x, n_y, s)))
     return met.select("x.doc", "x.line_no", F.struct("y.doc", "y.line_no").alias("met"))
 
@@ -200,8 +213,8 @@ def removals(docs: DataFrame, similarity: float = 0.8, min_words: int = MIN_WORD
     lines = stored(found.where(F.col("n") >= min_words) if min_words > 1 else found, "lines")
     # copies meet before the shuffle; all else is the same in equal sets
     firsts = lines.groupBy("high", "low").agg(F.min(F.struct(_doc(), "line_no")).alias("at"), *(
-        F.first(c).alias(c) for c in ("prefix", "n", *PARITY, "lowest", "highest")))
-    sets = stored(firsts.select("at.*", "prefix", "n", *PARITY, "lowest", "highest", "high", "low"), "sets")
+        F.first(c).alias(c) for c in ("prefix", "n", *PARITY, *GROUPS)))
+    sets = stored(firsts.select("at.*", "prefix", "n", *PARITY, *GROUPS, "high", "low"), "sets")
     early = stored(_verified(_neighbours(sets, s), texts, s, "early"), "early")
     late = _verified(_prefix_pairs(sets, early, s), texts, s, "late")
     gone = early.unionByName(late).withColumn("gone", F.lit(True))
