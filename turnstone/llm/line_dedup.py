@@ -46,6 +46,8 @@ GROUPS = ["lowest", "highest", "above", "below"]
 MET_BEFORE = 16
 #: Lines above so many words have the half, and the quarters.
 HALVED, QUARTERED = 64, 128
+#: Bounds of the quarters of all word hashes: this, its negative and zero.
+QUARTER = 1 << 30
 #: The place of a line, in order.
 PLACE = ["doc", "line_no"]
 
@@ -95,38 +97,46 @@ def line_sets(docs: DataFrame, levels: Column, s: Fraction) -> DataFrame:
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line")).where(
         F.col("line").rlike(r"[^\x20\x09-\x0D]"))  # has words: told by the text, as a filter on the keys would work them out twice
     # used once behind here, so that the subquery ends up inside the lambda and no row carries the table
-    words = lines.select("doc_id", "line_no", F.array_remove(_words(F.col("line")), "").alias("words"), levels.alias("levels"))
-
-    def key(word: Column) -> Column:
-        h = F.xxhash64(word)
-        level = F.get(F.col("levels"), _slot(h).cast("int")).cast("long")
-        return F.shiftleft(level, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
-
-    keyed = words.select("doc_id", "line_no", F.transform("words", key).alias("keys"))
-    sized = keyed.select("doc_id", "line_no", F.sort_array(F.array_distinct("keys")).alias("keys"))
-    n = F.size("keys")
-    hashed = sized.select(
-        "doc_id", "line_no", F.transform("keys", lambda k: F.hash(k)).alias("words"), n.alias("n"), F.xxhash64("keys").alias("high"),
-        F.xxhash64(F.lit(1), "keys").alias("low"),
-        F.transform(F.slice("keys", F.lit(1), _prefix_length(n, s)), lambda k: F.when(F.shiftright(k, 56) > SINGLE, F.hash(k))).alias("prefix"))
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w)  # noqa: E731  a shift reads the last six bits
-    none = F.lit(0).cast("long")
-    flipped = F.aggregate("words", none, lambda p, w: p.bitwiseXOR(bit(w)))
-
-    def part(above: int, bits: int, value: int) -> Column:
-        mine = lambda w: w.bitwiseAND(F.lit(bits)) == value
-        return F.when(F.col("n") > above, F.aggregate("words", none, lambda p, w: F.when(mine(w), p.bitwiseXOR(bit(w))).otherwise(p)))
-
-    parts = [part(HALVED, 64, 64), part(QUARTERED, 192, 128), part(QUARTERED, 192, 192)]
-    order = F.sort_array("words")
-    positive = F.filter(order, lambda w: w >= 0)
-    negative = F.col("n") - F.size(positive)
-    return hashed.select(
-        "doc_id", "line_no", "prefix", "n", *(c.alias(name) for name, c in zip(PARITY, [flipped, *parts], strict=True)),
-        F.xxhash64(F.slice(order, 1, 3)).alias("lowest"),
-        F.xxhash64(F.slice(order, F.greatest(F.lit(1), F.col("n") - 2), F.lit(3))).alias("highest"),
-        F.when(F.size(positive) >= 3, F.xxhash64(F.lit(2), F.slice(positive, 1, 3))).alias("above"),
-        F.when(negative >= 3, F.xxhash64(F.lit(3), F.slice(order, F.greatest(F.lit(1), negative - 2), F.lit(3)))).alias("below"), "high", "low")
+    words = lines.select("doc_id", "line_no", "line", levels.alias("levels"))
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+
+    def key(h: Column) -> Column:
+        return F.shiftleft(F.col("levels")[_slot(h)].cast("long"), 56).bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(8)))
+
+    keyed = words.select(
+        "doc_id", "line_no", F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), key)).alias("keys"))
+    n = F.col("n")
+    hashed = keyed.select(
+        "doc_id", "line_no", F.size("keys").alias("n"), F.xxhash64("keys").alias("high"), F.xxhash64(F.lit(1), "keys").alias("low"),
+        F.transform(F.slice("keys", F.lit(1), _prefix_length(F.size("keys"), s)),
+                    lambda k: F.when(F.shiftright(k, 56) > SINGLE, F.hash(k))).alias("prefix"),
+        F.sort_array(F.transform("keys", lambda k: F.hash(k))).alias("order"))
+
+    def less(bound: int) -> Column:
+        """How many hashes are less: the place the bound takes among them, without a lambda over all words."""
+        return F.array_position(F.sort_array(F.array_append("order", F.lit(bound))), bound).cast("int") - 1
+
+    split = hashed.select("*", less(0).alias("half_at"), *(
+        F.when(n > QUARTERED, less(bound)).alias(name) for name, bound in (("q2_at", -QUARTER), ("q3_at", QUARTER))))
+
+    def between(first: Column | str, end: Column | str) -> Column:
+        first, end = (F.col(c) if isinstance(c, str) else c for c in (first, end))
+        return F.slice("order", first + 1, end - first)
+
+    def flipped(part: Column) -> Column:
+        bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w)  # noqa: E731  a shift reads the last six bits
+        return F.aggregate(part, F.lit(0).cast("long"), lambda p, w: p.bitwiseXOR(bit(w)))
+
+    parts = [
+        flipped(F.col("order")), F.when(n > HALVED, flipped(between("half_at", n))),
+        F.when(n > QUARTERED, flipped(between("q2_at", "half_at"))), F.when(n > QUARTERED, flipped(between("q3_at", n)))]
+    negative = F.col("half_at")
+    return split.select(
+        "doc_id", "line_no", "prefix", "n", *(c.alias(name) for name, c in zip(PARITY, parts, strict=True)),
+        F.hash(F.slice("order", 1, 3)).alias("lowest"),
+        F.hash(F.slice("order", F.greatest(F.lit(1), n - 2), F.lit(3))).alias("highest"),
+        F.when(n - negative >= 3, F.hash(F.lit(2), between(negative, negative + 3))).alias("above"),
+        F.when(negative >= 3, F.hash(F.lit(3), between(negative - 3, negative))).alias("below"), "high", "low")
 
 
 def _prefix_length(n: Column, s: Fraction) -> Column:
@@ -169,39 +179,67 @@ def _verified(pairs: DataFrame, docs: DataFrame, s: Fraction, name: str) -> Data
     return pairs.join(one, PLACE).join(two, "met").where(both * s.denominator >= either * s.numerator).select(*PLACE).distinct()
 
 
+def _packed(line_no: Column | str, low: Column | str) -> Column:
+    """Two whole numbers from 0 to 2^31 - 1 as one, since every column takes eight bytes of a shuffled row."""
+    return F.shiftleft(F.col(line_no).cast("long"), 32).bitwiseOR(F.col(low).cast("long"))
+
+
+def _upper(packed: str) -> Column:
+    return F.shiftright(packed, 32).cast("int")
+
+
+def _lower(packed: str) -> Column:
+    return F.col(packed).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+
+
+def _signed(packed: str) -> Column:
+    """The lower half, as a number with a sign."""
+    return F.shiftright(F.shiftleft(packed, 32), 32)
+
+
+def _earlier(x: str, y: str) -> Column:
+    """Whether the place of x is before that of y."""
+    return (F.col(f"{x}doc") < F.col(f"{y}doc")) | ((F.col(f"{x}doc") == F.col(f"{y}doc")) & (_upper(f"{x}line_n") < _upper(f"{y}line_n")))
+
+
 def _neighbours(sets: DataFrame, s: Fraction) -> DataFrame:
     """Pairs of each line with the first and the last lines before it of its groups."""
     key = F.explode(F.array(*GROUPS)).alias("key")
-    rows = sets.where(_has_unequal(s)).select(key, *PLACE, "n", *PARITY).where("key is not null")
-    order = Window.partitionBy("key").orderBy(*PLACE)
-    me = F.struct(*PLACE, "n", *PARITY)
+    rows = sets.where(_has_unequal(s)).select(key, *PARITY, "doc", _packed("line_no", "n").alias("line_n")).where("key is not null")
+    order = Window.partitionBy("key").orderBy("doc", "line_n")
+    # most stand alone, and go before the wide frames; the second window reads the order of the first
+    alone = (F.lag("doc").over(order).isNull() & F.lead("doc").over(order).isNull()).alias("alone")
+    rows = rows.select("*", alone).where(~F.col("alone")).drop("alone")
+    me = F.struct("doc", "line_n", *PARITY)
     before = [F.first(me).over(order), *(F.lag(me, k).over(order) for k in range(1, MET_BEFORE + 1))]
-    met = rows.select(*PLACE, "n", *PARITY, F.when(F.lag("n").over(order).isNotNull(), F.array(*before)).alias("met"))  # most stand alone
-    flat = met.select(*PLACE, "n", *PARITY, F.explode("met").alias("y")).where("y is not null").where(
-        F.struct("y.doc", "y.line_no") < F.struct(*PLACE))
-    near = _possible("", "y.", F.col("n"), F.col("y.n"), s)
-    return flat.where(near).select(*PLACE, F.struct("y.doc", "y.line_no").alias("met"))
+    flat = rows.select("doc", "line_n", *PARITY, F.array(*before).alias("met")).select(
+        "doc", "line_n", *PARITY, F.explode("met").alias("y")).where("y is not null").where(_earlier("y.", ""))
+    near = _possible("", "y.", _lower("line_n"), _lower("y.line_n"), s)
+    return flat.where(near).select("doc", _upper("line_n").alias("line_no"), F.struct("y.doc", _upper("y.line_n").alias("line_no")).alias("met"))
 
 
 def _prefix_pairs(sets: DataFrame, gone: DataFrame, s: Fraction) -> DataFrame:
     """Pairs of lines that aren't gone with any earlier lines that share a prefix word and pass all filters.
 
-    Lines that are gone carry a negative n; no condition is on one side alone, so both sides read the same shuffle.
+    Lines that are gone carry a negative place of the word; no condition is on one side alone, so both sides read the same
+    shuffle. A word without one before it that counts carries itself as the one before.
     """
-    marked = sets.join(gone.select(*PLACE, F.lit(-1).alias("sign")), PLACE, "left")
+    marked = sets.join(gone.select(*PLACE, F.lit(True).alias("gone")), PLACE, "left")
     words = F.arrays_zip(F.col("prefix").alias("word"), F.concat(F.array(F.lit(None).cast("int")), "prefix").alias("before"))
     rows = marked.where(_has_unequal(s)).select(
-        F.posexplode(words).alias("i", "w"), *PLACE, (F.col("n") * F.coalesce("sign", F.lit(1))).alias("n"), *PARITY)
-    rows = rows.where("w.word is not null").select("i", "w.word", "w.before", *PLACE, "n", *PARITY)
+        F.posexplode(words).alias("i", "w"), *PARITY, "doc", _packed("line_no", "n").alias("line_n"), "gone").where("w.word is not null")
+    mask = F.lit((1 << 32) - 1)
+    both = F.shiftleft(F.col("w.word").cast("long"), 32).bitwiseOR(F.coalesce("w.before", "w.word").cast("long").bitwiseAND(mask))
+    rows = rows.select(both.alias("words"), *PARITY, "doc", "line_n", F.when(F.col("gone"), -1 - F.col("i")).otherwise(F.col("i")).alias("at"))
     x, y = rows.alias("x"), rows.alias("y")
-    n_x, n_y = F.abs("x.n"), F.abs("y.n")
-    earlier = (F.col("y.doc") < F.col("x.doc")) | ((F.col("y.doc") == F.col("x.doc")) & (F.col("y.line_no") < F.col("x.line_no")))
+    n_x, n_y = _lower("x.line_n"), _lower("y.line_n")
+    i, k = F.col("x.at"), F.greatest(F.col("y.at"), -1 - F.col("y.at"))
     # two lines with the same word before this one meet there, too, and with the same bound by position
-    starts = F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
-    met = x.join(y, F.col("x.word") == F.col("y.word")).where(
-        starts & (F.least(F.col("x.n"), n_y) > 0) & earlier & _possible("x.", "y.", n_x, n_y, s)
-        & (F.least("x.i", "y.i") + F.least(n_x - F.col("x.i"), n_y - F.col("y.i")) >= _least_overlap(n_x, n_y, s)))
-    return met.select("x.doc", "x.line_no", F.struct("y.doc", "y.line_no").alias("met"))
+    starts = (F.col("x.words") != F.col("y.words")) | (F.shiftright("x.words", 32) == _signed("x.words"))
+    met = x.join(y, F.shiftright("x.words", 32) == F.shiftright("y.words", 32)).where(
+        starts & (F.least(i, k) >= 0) & _earlier("y.", "x.") & _possible("x.", "y.", n_x, n_y, s)
+        & (F.least(i, k) + F.least(n_x - i, n_y - k) >= _least_overlap(n_x, n_y, s)))
+    return met.select("x.doc", _upper("x.line_n").alias("line_no"), F.struct("y.doc", _upper("y.line_n").alias("line_no")).alias("met"))
 
 
 def removals(docs: DataFrame, similarity: float = 0.8, min_words: int = MIN_WORDS) -> DataFrame:
